@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from . import near_duplicates
+from . import near_duplicates, personal_data, secrets
 
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secrets(spark, sf_dir):
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    return secrets.span_digests(found, "secrets", secrets.KINDS)
+
+
+def op10_personal_data(spark, sf_dir):
+    found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
+    return secrets.span_digests(found, "found", personal_data.KINDS)
+
+
 def op5_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_near_duplicates,)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op5_near_duplicates, op10_personal_data)}
 ORACLES: dict[str, str] = {}
