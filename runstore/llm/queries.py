@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_duplicates, personal_data, secrets
+from . import near_duplicates, personal_data, quality, secrets
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -14,6 +14,10 @@ def op3_secrets(spark, sf_dir):
     return secrets.span_digests(found, "secrets", secrets.KINDS)
 
 
+def op7_quality(spark, sf_dir):
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_personal_data(spark, sf_dir):
     found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
     return secrets.span_digests(found, "found", personal_data.KINDS)
@@ -23,5 +27,5 @@ def op5_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op5_near_duplicates, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op5_near_duplicates, op7_quality, op10_personal_data)}
 ORACLES: dict[str, str] = {}
