@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import near_duplicates, personal_data, quality, secrets
+from pyspark.sql import functions as F
+
+from . import mixing, near_duplicates, packing, personal_data, quality, secrets
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -18,14 +20,35 @@ def op7_quality(spark, sf_dir):
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: Target weights: by group of sources, and by language within it; sources of a language weigh alike.
+GROUPS = {"group0": 4.0, "group1": 3.0, "group2": 2.0, "group3": 1.0}
+LANGUAGES = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
+WEIGHTS = {(g,): w for g, w in GROUPS.items()} | {(g, x): w for g in GROUPS for x, w in LANGUAGES.items()}
+
+
+def levels() -> dict:
+    """The tree of the table ``documents``: a group by the source's number, its language, the source."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long"), F.lit(0))
+    return {"domain": F.concat(F.lit("group"), number % 4), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op9_mixing(spark, sf_dir):
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), levels(), WEIGHTS, budget=1.0, seed=9, epochs=2)
+    return mixed.select("doc_id", "_mix.epoch", "_mix.tokens", "_mix.domain", "_mix.lang", "_mix.source")
+
+
 def op10_personal_data(spark, sf_dir):
     found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
     return secrets.span_digests(found, "found", personal_data.KINDS)
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op5_near_duplicates, op7_quality, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_packing, op5_near_duplicates, op7_quality, op9_mixing, op10_personal_data)}
 ORACLES: dict[str, str] = {}
