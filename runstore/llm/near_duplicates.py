@@ -7,12 +7,14 @@ bucket, so that registers of two documents agree with the Jaccard similarity for
 Bands of ``ROWS`` registers are hashed; documents that share a band are candidates. With 51 bands of
 5, a pair at the threshold of 0.75 shares none with probability 1e-6.
 
-The work follows components, not pairs. Equal sets are first joined to their smallest document. In
-each band the others are compared with its smallest document; of these candidates each document
-first tries its best one. Bands whose members are then still in several components are compared in
-blocks, again best candidates first, then all that are left. A candidate is verified on whole sets
-if its similarity estimated from the registers, corrected for chance collisions, isn't under the
-threshold by more than ``MARGIN``.
+The work follows components, not pairs, and no table of pairs is made within a band. Equal sets are
+first joined to their smallest document. In each band the others are compared with its smallest
+document, and each document's best candidate there is verified on whole sets. Bands whose members
+are then still in several components are compared by registers in blocks, which only say which
+components may belong together. The members of such a cluster finally meet with their texts, again
+in blocks: every pair of different components whose similarity estimated from the registers,
+corrected for chance collisions, isn't under the threshold by more than ``MARGIN`` is verified on
+whole sets, unless links found before have joined the two.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ MANTISSA = 10
 ROWS, BANDS = 5, 51
 PERCENT = 75
 MARGIN = 0.15  # over five standard deviations of an estimate from 256 registers
-BLOCK = 256  # members of a band compared at once
+BLOCK = 192  # members of a band or cluster compared at once
 CHUNK = 64  # documents verified against one copy of the same text
 _rng = np.random.Generator(np.random.PCG64(77))
 BORROW = np.argsort(_rng.random((BUCKETS, BUCKETS)), axis=1)
@@ -135,28 +137,108 @@ def _estimate(batches):
         yield pa.RecordBatch.from_arrays([x.column("a").filter(keep), x.column("b").filter(keep), pa.array(est[ok])], ["a", "b", "est"])
 
 
-def _block_pairs(pdf):
-    """Candidates between different components among the members of one block pair of a band."""
+def _maybe(own: np.ndarray, others: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
+    """Which others a sketch can't be told to be unlike, and the estimates (0 where told at once)."""
+    est = np.zeros(len(others))
+    near = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((own == others).sum(1) >= int((PERCENT / 100 - MARGIN) * BUCKETS))
+    at = np.flatnonzero(near)
+    if len(at):
+        est[at] = estimates(own[None, :], others[at], np.full(len(at), n), m[at])
+    return est
+
+
+def _groups(batches, keys: list[str]):
+    """Runs of rows of equal keys, as pandas frames, from sorted batches."""
+    import pandas as pd
+
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        k = pdf[keys].to_numpy()
+        at = 0
+        for c in np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1:
+            yield pdf.iloc[at:c]
+            at = c
+        rest = pdf.iloc[at:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _touching(batches):
+    """Pairs of components that may belong together, as few as join all that may, for each block pair of a band."""
+    import pandas as pd
+
+    for g in _groups(batches, ["key", "lo", "hi"]):
+        root, side, n = g.root.to_numpy().copy(), g.side.to_numpy(), g.n_shingles.to_numpy()
+        if (root == root[0]).all():
+            continue
+        own = root.copy()
+        regs = np.frombuffer(b"".join(g.regs), np.uint16).reshape(-1, BUCKETS)
+        both = side.any()
+        out = []
+        for i in range(len(g)):
+            if both and side[i]:
+                break  # side 0 comes first
+            at = np.flatnonzero((own != own[i]) & (side == 1)) if both else i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+            if not len(at):
+                continue
+            at = at[_maybe(regs[i], regs[at], n[i], n[at]) >= PERCENT / 100 - MARGIN]
+            for j in at:
+                if own[j] != own[i]:
+                    out.append((root[i], root[j]))
+                    own[own == own[j]] = own[i]
+        if out:
+            yield pd.DataFrame(out, columns=["u", "v"])
+
+
+def _joined(batches):
+    """Verified links between components, for each block pair of a cluster."""
     import pandas as pd
 
-    out = {"a": [], "b": [], "est": []}
-    own, other = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    same = not len(other)
-    other = own if same else other
-    if len(own) and len(other):
-        regs = [np.frombuffer(b"".join(p.regs), np.uint16).reshape(-1, BUCKETS) for p in (own, other)]
-        n = [p.n_shingles.to_numpy() for p in (own, other)]
-        for i in range(len(own)):
-            ok = (own.root.to_numpy()[i] != other.root.to_numpy()) & (100 * np.minimum(n[0][i], n[1]) >= PERCENT * np.maximum(n[0][i], n[1]))
-            if same:
-                ok[: i + 1] = False
-            at = np.flatnonzero(ok)
+    for g in _groups(batches, ["cluster", "lo", "hi"]):
+        root, side = g.root.to_numpy().copy(), g.side.to_numpy()
+        if (root == root[0]).all():
+            continue
+        first = root.copy()
+        sets = list(shingle_sets(pa.array(g.text, pa.large_string())))
+        n = np.array([len(x) for x in sets])
+        regs = np.stack([registers(x) for x in sets])
+        both = side.any()
+        todo = []
+        for i in range(len(g)):
+            if both and side[i]:
+                break
+            at = np.flatnonzero((root != root[i]) & (side == 1)) if both else i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
             if len(at):
-                est = estimates(regs[0][i][None, :], regs[1][at], np.full(len(at), n[0][i]), n[1][at])
+                est = _maybe(regs[i], regs[at], n[i], n[at])
                 good = est >= PERCENT / 100 - MARGIN
-                x, y = own.doc_id.to_numpy()[i], other.doc_id.to_numpy()[at[good]]
-                out["a"].append(np.maximum(x, y)), out["b"].append(np.minimum(x, y)), out["est"].append(est[good])
-    return pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0, np.float64 if k == "est" else np.int64) for k, v in out.items()})
+                todo.append((np.full(good.sum(), i), at[good], est[good]))
+        if not todo:
+            continue
+        i_all, j_all, est = (np.concatenate(x) for x in zip(*todo))
+        out = []
+        for k in np.argsort(-est, kind="stable"):
+            i, j = i_all[k], j_all[k]
+            if root[i] != root[j] and similar(sets[i], sets[j]):
+                out.append((first[i], first[j]))
+                root[root == root[j]] = root[i]
+        if out:
+            yield pd.DataFrame(out, columns=["u", "v"])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= PERCENT * (len(both) - shared)
+
+
+def _in_blocks(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (``by``, size, doc_id, ...) dealt to pairs (lo, hi) of their group's blocks; side tells which of the two."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
+    return rows.withColumn("p", F.explode(other)).select(by, "p.lo", "p.hi", "p.side", "doc_id", "root")
 
 
 def _verify(batches):
@@ -170,10 +252,7 @@ def _verify(batches):
                 held, at = own, (b[k], chunk[k])
                 continue
             assert at == (b[k], chunk[k])
-            both = np.concatenate([held, own])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= PERCENT * (len(held) + len(own) - shared):
+            if similar(held, own):
                 out.append((a[k], b[k]))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
@@ -223,55 +302,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         side = lambda x: regs.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("regs").alias("r" + x))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate, "a long, b long, est double")
 
-    def best(pairs: DataFrame, *by: str) -> DataFrame:
-        return pairs.groupBy(*by).agg(F.max(F.struct("est", -F.col("b"), "a")).alias("_x")).select(F.col("_x.a").alias("a"), (-F.col("_x.col2")).alias("b"))
-
     star = ws.cut(paired(members.where("doc_id > lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()))
-    tried = ws.cut(best(star, "a"))
-    links = _verified(ws, tried, texts)
+    best = star.groupBy("a").agg(F.max(F.struct("est", -F.col("b"))).alias("_x")).select("a", (-F.col("_x.col2")).alias("b"))
+    links = _verified(ws, best, texts)
     roots = ws.cut(connected_components(ws, links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    for step in ("best", "rest"):
-        placed = ws.cut(members.select("key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")))
-        mixed = ws.cut(placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size")).where("_lo < _hi").select("key", "size"))
-        inside = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        inside = inside.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        # Each block meets every other: a member goes to all pairs of blocks that hold its own.
-        deal = inside.select("key", "doc_id", "root", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))).alias("p"))
-        deal = deal.select("key", "p.lo", "p.hi", "p.side", "doc_id", "root").join(regs, "doc_id")
-        found = _blocks(deal).distinct()
-        pairs = ws.cut(found.join(tried, ["a", "b"], "left_anti"), free_shuffles=True)
-        if pairs.isEmpty():
-            break
-        if step == "best":
-            towards = roots.select(F.col("node").alias("b"), "root")
-            pairs = best(pairs.join(towards, "b", "left").withColumn("root", F.coalesce("root", "b")), "a", "root").distinct()
-        now = ws.cut(pairs.select("a", "b"))
-        tried = tried.unionByName(now)
-        links = links.unionByName(_verified(ws, now, texts))
-        roots = ws.cut(connected_components(ws, links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    placed = ws.cut(involved.join(roots, involved.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")))
+    inside = ws.cut(members.select("key", "doc_id").join(placed, "doc_id"))
+    mixed = ws.cut(inside.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size")).where("_lo < _hi").select("key", "size"))
+    dealt = _in_blocks(inside.join(mixed, "key"), "key").join(regs, "doc_id")
+    touching = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInPandas(_touching, "u long, v long")
+    clusters = ws.cut(connected_components(ws, touching).select(F.col("node").alias("root"), F.col("root").alias("cluster")), free_shuffles=True)
+    met = ws.cut(placed.join(clusters, "root"))
+    size = ws.cut(met.groupBy("cluster").agg(F.count("*").alias("size")))
+    dealt = _in_blocks(met.join(size, "cluster"), "cluster").join(texts, "doc_id")
+    more = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side").mapInPandas(_joined, "u long, v long")
+    last = ws.cut(connected_components(ws, more), free_shuffles=True)
     ws.drop(members, texts, regs)
-    out = copies.join(roots, copies.rep == roots.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    final = placed.join(last, placed.root == last.node, "left").select("doc_id", F.coalesce(last.root, placed.root).alias("component_id"))
+    out = copies.join(final.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(alone)
-
-
-def _blocks(deal: DataFrame) -> DataFrame:
-    """Candidate pairs of all blocks, many small blocks to a task."""
-    rows = deal.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side")
-
-    def run(frames):
-        import pandas as pd
-
-        rest = None
-        for pdf in frames:
-            pdf = pdf if rest is None or not len(rest) else pd.concat([rest, pdf], ignore_index=True)
-            k = pdf[["key", "lo", "hi"]].to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            at = 0
-            for c in cuts:
-                yield _block_pairs(pdf.iloc[at:c])
-                at = c
-            rest = pdf.iloc[at:]
-        if rest is not None and len(rest):
-            yield _block_pairs(rest)
-
-    return rows.mapInPandas(run, "a long, b long, est double")
