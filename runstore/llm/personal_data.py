@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .crf import Tagger
 from .secrets import added, words
+from .workspace import ship
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -121,6 +122,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives a row, repeated and null ids too; other columns are ignored. The model is fitted on the
     driver from ``labelled_table``.
     """
+    ship(docs.sparkSession)
     model = tagger()
 
     def run(batches):

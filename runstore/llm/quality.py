@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textnum import slices, word_bounds, word_hashes
+from .workspace import ship
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_sd", "upper", "digit", "punct", "odd_punct", "high", "space",
@@ -185,6 +186,7 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Forest:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 

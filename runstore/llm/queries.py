@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, packing, personal_data, quality, secrets
+from . import embedding_duplicates, mixing, near_duplicates, neighbours, packing, personal_data, quality, repeated_passages, secrets
 
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op3_secrets(spark, sf_dir):
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     return secrets.span_digests(found, "secrets", secrets.KINDS)
 
 
+def op6_repeated_passages(spark, sf_dir):
+    return repeated_passages.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_duplicates(spark, sf_dir):
+    return embedding_duplicates.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 #: Target weights: by group of sources, and by language within it; sources of a language weigh alike.
 GROUPS = {"group0": 4.0, "group1": 3.0, "group2": 2.0, "group3": 1.0}
 LANGUAGES = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
@@ -50,5 +63,5 @@ def op5_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_packing, op5_near_duplicates, op7_quality, op9_mixing, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op3_secrets, op4_packing, op5_near_duplicates, op6_repeated_passages, op7_quality, op8_embedding_duplicates, op9_mixing, op10_personal_data)}
 ORACLES: dict[str, str] = {}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf import Tagger
+from .workspace import ship
 
 KINDS = ("assign", "access", "hex")
 # The base patterns.
@@ -99,6 +100,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no base span is. Null and empty texts have none; a row gives a row, repeated and null ids too;
     other columns are ignored. The model is fitted on the driver from ``labelled_table``.
     """
+    ship(docs.sparkSession)
     model = tagger()
 
     def run(batches):
@@ -119,6 +121,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     All other columns and the number of rows stay; a null text stays null.
     """
+    ship(docs.sparkSession)
     model, schema, at = tagger(), docs.schema, docs.columns.index(text_col)
 
     def run(batches):

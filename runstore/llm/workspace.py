@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, so that they can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_runstore_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="runstore-package-"), "runstore_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.join("runstore", os.path.relpath(full, top)))
+    context.addPyFile(path)
+    context._runstore_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a local one is set."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +46,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/runstore-{uuid.uuid4().hex}"
         self._at: dict[int, str] = {}
