@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_duplicates, mixing, near_duplicates, neighbours, packing, personal_data, quality, repeated_passages, secrets
+from . import embedding_duplicates, mixing, near_duplicates, neighbours, packing, personal_data, quality, repeated_passages, secrets, toxicity
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -16,6 +16,10 @@ def op1_neighbours(spark, sf_dir):
     return neighbours.nearest(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_secrets(spark, sf_dir):
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     return secrets.span_digests(found, "secrets", secrets.KINDS)
@@ -63,5 +67,5 @@ def op5_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op3_secrets, op4_packing, op5_near_duplicates, op6_repeated_passages, op7_quality, op8_embedding_duplicates, op9_mixing, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_toxicity, op3_secrets, op4_packing, op5_near_duplicates, op6_repeated_passages, op7_quality, op8_embedding_duplicates, op9_mixing, op10_personal_data)}
 ORACLES: dict[str, str] = {}

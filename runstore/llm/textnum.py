@@ -63,10 +63,10 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         at = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (bytes) and number of words before each text, for the words of all texts."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (bytes) and number of words before each text, for the words of all texts; bytes ``between`` part words."""
     n = len(data)
-    ink = ~IS_SPACE[data]
+    ink = ~between[data]
     start = ink.copy()
     start[1:] &= ~ink[:-1]
     end = ink.copy()
