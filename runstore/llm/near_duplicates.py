@@ -36,7 +36,7 @@ MANTISSA = 10
 ROWS, BANDS = 5, 51
 PERCENT = 75
 MARGIN = 0.15  # over five standard deviations of an estimate from 256 registers
-BLOCK = 192  # members of a band or cluster compared at once
+BAND_BLOCK, BLOCK = 1024, 192  # members of a band (by sketches) or of a cluster (with texts) compared at once
 CHUNK = 64  # documents verified against one copy of the same text
 _rng = np.random.Generator(np.random.PCG64(77))
 BORROW = np.argsort(_rng.random((BUCKETS, BUCKETS)), axis=1)
@@ -233,9 +233,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(both) - shared)
 
 
-def _in_blocks(rows: DataFrame, by: str) -> DataFrame:
+def _in_blocks(rows: DataFrame, by: str, block: int) -> DataFrame:
     """Rows (``by``, size, doc_id, ...) dealt to pairs (lo, hi) of their group's blocks; side tells which of the two."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
     return rows.withColumn("p", F.explode(other)).select(by, "p.lo", "p.hi", "p.side", "doc_id", "root")
@@ -309,12 +309,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = ws.cut(involved.join(roots, involved.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")))
     inside = ws.cut(members.select("key", "doc_id").join(placed, "doc_id"))
     mixed = ws.cut(inside.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size")).where("_lo < _hi").select("key", "size"))
-    dealt = _in_blocks(inside.join(mixed, "key"), "key").join(regs, "doc_id")
+    dealt = _in_blocks(inside.join(mixed, "key"), "key", BAND_BLOCK).join(regs, "doc_id")
     touching = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInPandas(_touching, "u long, v long")
     clusters = ws.cut(connected_components(ws, touching).select(F.col("node").alias("root"), F.col("root").alias("cluster")), free_shuffles=True)
     met = ws.cut(placed.join(clusters, "root"))
     size = ws.cut(met.groupBy("cluster").agg(F.count("*").alias("size")))
-    dealt = _in_blocks(met.join(size, "cluster"), "cluster").join(texts, "doc_id")
+    dealt = _in_blocks(met.join(size, "cluster"), "cluster", BLOCK).join(texts, "doc_id")
     more = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side").mapInPandas(_joined, "u long, v long")
     last = ws.cut(connected_components(ws, more), free_shuffles=True)
     ws.drop(members, texts, regs)
