@@ -114,7 +114,9 @@ class Forest:
         for _ in range(int(math.log2(self.leaf.shape[1])) if self.leaf.size else 0):
             right = x[rows, self.feature[trees, node]] > self.threshold[trees, node]
             node = 2 * node + 1 + right
-        total = self.base + (self.leaf[trees, node - self.feature.shape[1]].sum(1) if self.leaf.size else 0)
+        total = np.full(len(x), self.base)
+        if self.leaf.size:
+            total += self.leaf[trees, node - self.feature.shape[1]].sum(1)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 

@@ -196,6 +196,8 @@ def _sorted_windows(batches):
     """Ranges of repeated windows, from regions sorted by (gram, doc_id, lo); whole grams at a time."""
 
     def work(gram, doc, lo, before, more, raw):
+        if not raw:
+            return None
         size = np.array([len(x) for x in raw])
         base = np.concatenate([[0], np.cumsum(size)])[:-1]
         flat = np.frombuffer(b"".join(raw), np.uint8)
