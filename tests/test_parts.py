@@ -162,3 +162,24 @@ def test_command_line_process(tmp_path):
     assert run("put", "foo", "bar").stdout == "OK put 'foo'\n"
     r = run("get", "foo")
     assert (r.returncode, r.stdout) == (0, "bar\n")
+
+
+def test_bucketed_merge_needs_no_exchange(spark, tmp_path):
+    from runstore.plans.bucketed import merged, write_bucketed
+
+    rows = merge.entries(ops(spark, *[("D" if i % 9 == 0 else "P", b"k%02d" % (i % 30), b"%d" % i) for i in range(200)]))
+    spark.sql("DROP TABLE IF EXISTS bucketed_entries")
+    write_bucketed(rows.where("seq <= 120"), "bucketed_entries", 4, str(tmp_path / "t"))
+    write_bucketed(rows.where("seq > 120"), "bucketed_entries", 4, str(tmp_path / "t"))
+    out = merged(spark, "bucketed_entries")
+    assert "Exchange" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, merge.newest_wins(rows).collect()))
+    spark.sql("DROP TABLE bucketed_entries")
+
+
+def test_lookup_merges_only_what_is_asked(spark, tmp_path):
+    at = str(tmp_path / "run")
+    merge.entries(ops(spark, *[("P", b"k%03d" % i, b"v") for i in range(50)])).write.parquet(at)
+    keys = spark.createDataFrame([(bytearray(b"k001"),)], "key binary")
+    p = plan(merge.multi_get(spark.read.parquet(at), keys))
+    assert p.index("LeftSemi") > p.index("Aggregate")  # below the merge
