@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-PER_BUCKET = 20_000
+PER_BUCKET = 2_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -101,7 +101,8 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple,
     # the first bucket that goes over; buckets before it are whole
     bound = ws.cut(sums.where("upto > part").groupBy("leaf").agg(F.min(F.struct("bucket", "before")).alias("_b")).select("leaf", "_b.bucket", "_b.before"))
     within = Window.partitionBy("leaf", "bucket").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    inside = partial.join(bound, ["leaf", "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(within))
+    # a row for each leaf, as many as the driver holds
+    inside = partial.join(F.broadcast(bound), ["leaf", "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(within))
     last = inside.where("upto <= part").groupBy("leaf").agg(F.max("key").alias("last"))
     cut = bound.join(last, "leaf", "left").select("leaf", F.coalesce("last", "bucket").alias("last")).collect()  # a row for each leaf
     last_of = {tuple(r.leaf): r.last for r in cut}
