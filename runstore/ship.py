@@ -9,9 +9,19 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Bounds of the batches that go to Python workers, where the session has Spark's own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(8 << 20))}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context, so that they can import it."""
+    """Send this package to the executors, once for each Spark context, so that they can import it.
+
+    Also bound the batches that go to Python, since texts may be long; a session's own bounds stay.
+    """
     context = spark.sparkContext
+    for name, (usual, ours) in BATCH.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, ours)
     if getattr(context, "_runstore_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
