@@ -266,3 +266,23 @@ def test_killed_writer_keeps_what_it_acknowledged(spark, tmp_path, delay):
         s.flush()
     with RunStore(spark, at) as s:
         assert s.get(b"after") == b"1" and s.get(b"key-000000") == b"value-000000"
+
+
+def test_hadoop_file_systems(spark, at, monkeypatch):
+    from runstore.plans.storage import Hadoop
+
+    monkeypatch.setattr("runstore.store.storage", lambda spark, path: Hadoop(spark, "file://" + path))
+    with RunStore(spark, at) as s:
+        s.put(b"a", b"\x00\xff")
+        s.delete(b"b")
+    s, t = RunStore(spark, at), RunStore(spark, at)
+    assert s.get(b"a") == b"\x00\xff" and s.stats()["memtable_entries"] == 2
+    s.put_many(spark.createDataFrame([(bytearray(b"c"), bytearray(b"3"))], "key binary, value binary"))
+    assert s.flush()["size_bytes"] > 0
+    with pytest.raises(CommitConflict):
+        t.flush()
+    s.put(b"d", b"4")
+    s.flush()
+    s.compact()
+    assert scanned(s) == [(b"a", b"\x00\xff"), (b"c", b"3"), (b"d", b"4")] and len(s.vacuum()) >= 1
+    s.close(), t.close()
