@@ -27,7 +27,9 @@ SEEDS = {
 }
 CATEGORIES = (*SEEDS, "toxic")
 #: At most so many labelled rows are learned from, and so many telling words kept.
-SAMPLE, VOCABULARY = 8_000, 1_000
+SAMPLE, VOCABULARY = 10_000, 1_000
+#: A telling word stands in so many rows, and is so many standard deviations from the rate of all rows.
+LEAST_ROWS, LEAST_DEVIATIONS = 4, 5.0
 FOLDS, STEPS, RATE, PENALTY = 5, 150, 0.3, 1e-4
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)] = False
@@ -139,17 +141,8 @@ class Chain:
         return out
 
 
-def fit_chain(n: int, row: np.ndarray, words: np.ndarray, toxic: np.ndarray, seeds: dict[str, np.ndarray]) -> Chain:
-    """``row`` and ``words``: each row's distinct word hashes; ``seeds``: hashes by weak category, in order."""
-    vocabulary, place = np.unique(words, return_inverse=True)
-    seen, bad = np.bincount(place, minlength=len(vocabulary)), np.bincount(place, toxic[row], len(vocabulary))
-    rate = toxic.mean() if n else 0.0
-    # how many standard deviations a word's share of toxic rows is from that of all rows
-    z = (bad - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9)) * (seen >= 4)
-    best = np.sort(np.argsort(-np.abs(z), kind="stable")[:VOCABULARY])
-    best = best[np.abs(z[best]) >= 5]
-    keep = np.isin(place, best)
-    row, col, vocabulary = row[keep], np.searchsorted(best, place[keep]), vocabulary[best]
+def fit_chain(n: int, row: np.ndarray, col: np.ndarray, vocabulary: np.ndarray, toxic: np.ndarray, seeds: dict[str, np.ndarray]) -> Chain:
+    """``row`` and ``col``: the places in ``vocabulary`` of each row's features; ``seeds``: hashes by weak category, in order."""
     has = {c: np.bincount(row, np.isin(vocabulary[col], h), n)[:n] > 0 for c, h in seeds.items()}
     labels = [toxic * has[c] for c in seeds] + [toxic]
     fold = np.arange(n) % FOLDS
@@ -172,7 +165,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, held_out, a probability for each category, predicted, for each row of ``docs``.
 
     A chain is fitted to ``labels`` (doc_id, toxic) of rows that aren't held out, at most ``sample``
-    of them. Null and empty texts have no words. Rows give rows, repeated and null ids too (a null id
+    of them. Telling words are counted on the executors; the driver gets ``VOCABULARY`` of them, and
+    which of these each labelled row has. Null and empty texts have no words. Rows give rows, repeated and null ids too (a null id
     is held out); without labels the probabilities are one half. Other columns are ignored.
     """
     ship(docs.sparkSession)
@@ -181,19 +175,34 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = known.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
     known = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "toxic").limit(sample)
 
-    def words(batches):
+    ours = rows.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
+
+    def count(batches):
+        for b in batches:
+            toxic = b.column(1).to_numpy()
+            for row, _, own, h in distinct_words(b.column(2)):
+                words, place = np.unique(h, return_inverse=True)
+                bad = np.bincount(place, toxic[row + own], len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(place, minlength=len(words))), pa.array(bad)], ["word", "seen", "bad"])
+
+    n, bad = rows.select("doc_id").join(F.broadcast(known), "doc_id").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rate = bad / n if n else 0.0
+    words = ours.mapInArrow(count, "word long, seen long, bad long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    z = (F.col("bad") - F.col("seen") * rate) / F.sqrt(F.col("seen") * max(rate * (1 - rate), 1e-9))
+    best = words.where((F.col("seen") >= LEAST_ROWS) & (F.abs(z) >= LEAST_DEVIATIONS)).orderBy(F.desc(F.abs(z)), "word").limit(VOCABULARY)
+    vocabulary = np.sort(np.array([r.word for r in best.select("word").collect()], np.int64).view(np.uint64))
+
+    def places(batches):
         for b in batches:
-            parts = [(row + own, h) for row, _, own, h in distinct_words(b.column(2))]
-            own = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-            h = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
-            ends = np.searchsorted(own, np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["doc_id", "toxic", "words"])
-
-    got = rows.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, words array<long>")
-    got = got.toPandas().sort_values(["doc_id", "toxic"], kind="stable")
-    size = [len(w) for w in got.words]
-    flat = np.concatenate([np.asarray(w, np.int64) for w in got.words]).view(np.uint64) if len(got) else np.zeros(0, np.uint64)
-    chain = fit_chain(len(got), np.repeat(np.arange(len(got)), size), flat, got.toxic.to_numpy(float), {c: seed_hashes(w) for c, w in SEEDS.items()})
+            row, col = known_words(b.column(2), vocabulary)
+            order = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[order], np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(col[order].astype(np.int32)))], ["doc_id", "toxic", "col"])
+
+    got = ours.mapInArrow(places, "doc_id long, toxic int, col array<int>").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
+    col = np.concatenate([np.zeros(0, np.int64), *got.col]).astype(np.int64)
+    row = np.repeat(np.arange(len(got)), [len(x) for x in got.col]) if len(got) else col
+    chain = fit_chain(len(got), row, col, vocabulary, got.toxic.to_numpy(float), {c: seed_hashes(w) for c, w in SEEDS.items()})
 
     def run(batches):
         for b in batches:

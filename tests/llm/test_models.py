@@ -63,9 +63,8 @@ def test_toxicity_on_held_out_rows(spark):
 def test_chain_feeds_earlier_categories(spark):
     rows = made(600, 3)
     texts = pa.array([r[1] for r in rows], pa.large_string())
-    parts = [(row + own, h) for row, _, own, h in X.distinct_words(texts)]
-    own, h = (np.concatenate(p) for p in zip(*parts))
-    chain = X.fit_chain(len(rows), own, h, np.array([float(r[3]) for r in rows]), {c: X.seed_hashes(w) for c, w in X.SEEDS.items()})
+    vocabulary = np.unique(np.concatenate([X.seed_hashes(w) for w in X.SEEDS.values()]))
+    chain = X.fit_chain(len(rows), *X.known_words(texts, vocabulary), vocabulary, np.array([float(r[3]) for r in rows]), {c: X.seed_hashes(w) for c, w in X.SEEDS.items()})
     assert [len(m.dense) for m in chain.models] == [0, 1, 2]
     p = chain.scores(texts)
     idiot = np.array(["idiot" in r[1] for r in rows])
