@@ -44,7 +44,7 @@ def _linked(g) -> "tuple[np.ndarray, np.ndarray] | None":
         return None
     j = j + n if both else j
     keep = np.zeros(len(i), bool)
-    pivot = int(g.pivot.iloc[0])
+    pivot = int(g["pivot"].iloc[0])
     for at in range(0, len(i), 4096):
         x, y = perm[i[at : at + 4096]], perm[j[at : at + 4096]]
         common = (x[:, :, None] == y[:, None, :]).any(2)
