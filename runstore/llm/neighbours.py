@@ -25,7 +25,7 @@ from .workspace import Workspace
 #: Rows that the trees are grown from: those of the smallest seeded hash of their id.
 SAMPLE = 20_000
 TREES, LEAF, SEARCH = 6, 128, 0.25
-BLOCK_ROWS, BLOCK_QUERIES = 2048, 1024
+BLOCK_ROWS, BLOCK_QUERIES, TASK_QUERIES = 2048, 1024, 400
 HELD = 50_000  # queries whose best a task holds before it sends them on
 
 
@@ -147,7 +147,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
                 row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([y for x in found for y in x], np.int64)), part.column(0).take(row), part.column(1).take(row)], ["leaf", "vec_id", "v"])
 
-    asked = rows.join(queries.select(F.col(id_col).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    asked = ws.cut(rows.join(queries.select(F.col(id_col).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi"))
+    # searching trees takes far longer than reading queries: so many of them make a task
+    asked = asked.repartition(max(1, -(-asked.count() // TASK_QUERIES)))
     routed, looked = (x.mapInArrow(f, f"leaf long, vec_id long, v {rows.schema['v'].dataType.simpleString()}") for x, f in ((rows, route), (asked, look)))
     routed, looked = ws.cut(routed), ws.cut(looked)
     blocks = lambda x, size, name: x.groupBy("leaf").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
