@@ -91,7 +91,10 @@ def valid_prefix(records: DataFrame, position: str = "pos", ok: str = "ok", log:
 
     The bad record's place is an aggregate of one row a log, so no log has to be ordered in one task.
     """
-    keys = [log] if log else []
-    bad = records.where(~F.col(ok)).groupBy(*keys).agg(F.min(position).alias("_bad"))
-    joined = records.join(F.broadcast(bad), keys, "left") if log else records.crossJoin(F.broadcast(bad))
+    bad = records.where(~F.col(ok))
+    if log is None:
+        first = bad.agg(F.min(position)).scalar()
+        return records.where(first.isNull() | (F.col(position) < first))
+    # a row for each log with a bad record at most
+    joined = records.join(bad.groupBy(log).agg(F.min(position).alias("_bad")), log, "left")
     return joined.where(F.col("_bad").isNull() | (F.col(position) < F.col("_bad"))).drop("_bad")

@@ -133,9 +133,8 @@ def kv_serving_run(spark, sf_dir):
 
 def kv_stats(spark, sf_dir):
     runs = _by_run(spark, sf_dir)
-    last = runs.agg(F.max("run").alias("last"), F.count_distinct("run").alias("n"))
-    tail = merge.tail_size(runs.join(F.broadcast(last), F.col("run") == F.col("last")).drop("last", "n"))
-    return tail.crossJoin(F.broadcast(last)).select("entries", "size_bytes", (F.col("n") - 1).alias("num_runs"))
+    last, n = runs.agg(F.max("run")).scalar(), runs.agg(F.count_distinct("run")).scalar()
+    return merge.tail_size(runs.where(F.col("run") == last)).select("entries", "size_bytes", (n - 1).alias("num_runs"))
 
 
 QUERIES = {f.__name__: f for f in (kv_scan_all, kv_scan_range, kv_scan_as_of, kv_get, kv_multi_get, kv_contains, kv_remove, kv_memtable, kv_flush_meta, kv_compact, kv_compact_meta, kv_sparse_index, kv_wal_offsets, kv_wal_crc, kv_wal_replay_prefix, kv_run_prune, kv_bloom_sizing, kv_bloom_probe, kv_serving_run, kv_stats)}
