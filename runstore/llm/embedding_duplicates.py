@@ -28,12 +28,18 @@ FEW, MANY = 32, 8192
 BLOCK = 512
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; first scaled by their largest component, so that no square over- or underflows."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
 def _linked(g) -> "tuple[np.ndarray, np.ndarray] | None":
     """Pairs (rows of the frame) that are linked and belong to this list."""
     side = g.side.to_numpy()
     both = side.any()
     n = int((side == 0).sum()) if both else len(g)
-    v, perm = np.stack(g.v.to_list()), np.stack(g.perm.to_list())
+    v, perm = _unit(np.stack(g.v.to_list()).astype(np.float64)), np.stack(g.perm.to_list())
     a, b = (v[:n], v[n:]) if both else (v, v)
     s = a @ b.T
     near = s >= LEAST - 1e-9
@@ -89,15 +95,15 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     vectors = ws.cut(unit.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")))
     classes = ws.cut(vectors.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     member = ws.cut(vectors.select("vec_id", "h1", "h2").join(classes, ["h1", "h2"]).select("vec_id", "rep", "weight"))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     reps = vectors.join(classes.select(F.col("rep").alias("vec_id"), "weight"), "vec_id")
-    reps = ws.cut(reps.withColumn("_n", size).select(F.col("vec_id").alias("rep"), "weight", F.transform("v", lambda x: x.cast("double") / F.col("_n")).alias("v")))
+    reps = ws.cut(reps.select(F.col("vec_id").alias("rep"), "weight", "v"))
     n_pivots = min(MANY, max(FEW, 4 * math.isqrt(reps.count())))
-    pivots = matrix(pa.array(reps.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(n_pivots).select("v").toPandas().v.to_list(), pa.list_(pa.float64())))
+    some = reps.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(n_pivots).select("v").toPandas().v.to_list()
+    pivots = _unit(np.stack(some).astype(np.float64)) if some else np.zeros((0, 1))
 
     def post(batches):
         for b in batches:
-            s = matrix(b.column("v")) @ pivots.T
+            s = _unit(matrix(b.column("v"))) @ pivots.T
             m = min(NEAREST, s.shape[1])
             near = np.argpartition(-s, m - 1, axis=1)[:, :m]
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
@@ -105,7 +111,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
             perm = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), m).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *[c.take(row) for c in b.columns], perm.take(row)], ["pivot", "rep", "weight", "v", "perm"])
 
-    posted = ws.cut(reps.mapInArrow(post, "pivot int, rep long, weight long, v array<double>, perm array<int>"))
+    posted = ws.cut(reps.mapInArrow(post, f"pivot int, rep long, weight long, v {reps.schema['v'].dataType.simpleString()}, perm array<int>"))
     lists = ws.cut(posted.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = posted.join(lists, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
