@@ -8,8 +8,8 @@ have an equal is dropped before it is sorted:
    anchor. Equal windows have equal anchors at equal places, so anchors are the first digit, on which
    rows are dealt; an anchor row stands for the run of windows that it governs.
 2. Occurrences of an anchor whose whole governed regions are equal form a class. All but the first
-   of a class are repeats as a whole, and this is told within each batch before anything is
-   shuffled, so a hot passage sends one row a batch.
+   of a class are repeats as a whole, and each task tells this among the anchors it has gathered
+   before anything is shuffled, so a hot passage sends one row for some hundred thousand anchors.
 3. Only where an anchor has several classes do their first occurrences meet with their bytes, and
    their windows are radix-sorted in digits of eight bytes. An anchor with more than ``HOT`` classes
    isn't gathered: its windows are grouped by 128-bit hashes instead, by a distributed aggregation.
@@ -29,6 +29,8 @@ from .workspace import Workspace, one_row_per_key
 
 DEPTH, GRAM = 100, 32
 HOT = 20_000
+#: Anchors that a task gathers before it tells repeats among them; what is left of them is shuffled.
+GATHERED = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(31))
 CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)  # here A-Z differ from a-z
 POSITION = np.uint64((1 << 24) - 1)
@@ -83,32 +85,40 @@ def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray):
 
 
 def _scan(batches):
-    """Anchor rows (first occurrences in the batch) and ranges repeated within the batch.
+    """Anchor rows (first occurrences among some ``GATHERED`` anchors) and ranges repeated among them.
 
     An anchor row has its place, and the windows before and after it, in one number.
     """
+    parts, n = [], 0
     for batch in batches:
-        ids, parts = batch.column(0).to_numpy(zero_copy_only=False), []
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
         for row, data, offsets in slices(batch.column(1)):
             for k, d, o in _short_enough(data, offsets):
                 text, p, lo, hi, gram, region = anchors(d, o)
                 base = o[text] if len(text) else text
                 parts.append((ids[row + k + text], p - base, lo - base, hi - base, gram.view(np.int64), region.view(np.int64)))
-        if not parts:
-            continue
-        doc, p, lo, hi, gram, region = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((p, doc, region, gram))
-        doc, p, lo, hi, gram, region = (x[order] for x in (doc, p, lo, hi, gram, region))
-        again = np.zeros(len(doc), bool)
-        again[1:] = (gram[1:] == gram[:-1]) & (region[1:] == region[:-1])
-        rd, ra, rb = _merged(doc[again], lo[again], hi[again] + DEPTH)
-        first = ~again
-        place = (p[first] << 16) | ((p - lo)[first] << 8) | (hi - lo)[first]
-        m, r = int(first.sum()), len(rd)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([gram[first], mix(rd.astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([region[first], np.zeros(r, np.int64)])), pa.array(np.concatenate([doc[first], rd]).astype(np.int64)), pa.array(np.concatenate([place, ra])), pa.array(np.concatenate([np.zeros(m, np.int64), rb]))],
-            ["gram", "region", "doc_id", "place", "until"],
-        )
+                n += len(p)
+        if n >= GATHERED:
+            yield _first_occurrences(parts)
+            parts, n = [], 0
+    if parts:
+        yield _first_occurrences(parts)
+
+
+def _first_occurrences(parts) -> pa.RecordBatch:
+    doc, p, lo, hi, gram, region = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((p, doc, region, gram))
+    doc, p, lo, hi, gram, region = (x[order] for x in (doc, p, lo, hi, gram, region))
+    again = np.zeros(len(doc), bool)
+    again[1:] = (gram[1:] == gram[:-1]) & (region[1:] == region[:-1])
+    rd, ra, rb = _merged(doc[again], lo[again], hi[again] + DEPTH)
+    first = ~again
+    place = (p[first] << 16) | ((p - lo)[first] << 8) | (hi - lo)[first]
+    m, r = int(first.sum()), len(rd)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([gram[first], mix(rd.astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([region[first], np.zeros(r, np.int64)])), pa.array(np.concatenate([doc[first], rd]).astype(np.int64)), pa.array(np.concatenate([place, ra])), pa.array(np.concatenate([np.zeros(m, np.int64), rb]))],
+        ["gram", "region", "doc_id", "place", "until"],
+    )
 
 
 def _short_enough(data, offsets):
