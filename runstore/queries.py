@@ -113,8 +113,7 @@ def kv_wal_replay_prefix(spark, sf_dir):
 
 def kv_run_prune(spark, sf_dir):
     meta = merge.run_meta(_by_run(spark, sf_dir), "run")
-    keys = log(spark, sf_dir).where(F.col("seq") % 7 == 0)
-    return layout.candidate_runs(meta, keys).select(decode(F.col("key")).alias("k"), "candidates")
+    return layout.candidate_runs(meta, log(spark, sf_dir)).select(decode(F.col("key")).alias("k"), "candidates")
 
 
 def kv_bloom_sizing(spark, sf_dir):
@@ -167,7 +166,7 @@ ORACLES = {
   cast(coalesce(sum(8+length(k)+coalesce(length(v),0)) OVER (PARTITION BY run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS bigint) AS byte_offset FROM runs) x WHERE i%16=0""",
     "kv_wal_offsets": _LOG + "SELECT seq, rec_len, cast(sum(rec_len) OVER (ORDER BY seq) AS bigint) AS end_offset FROM (SELECT seq, cast(13+length(k)+coalesce(length(v),0) AS bigint) AS rec_len FROM oplog) x",
     "kv_wal_replay_prefix": _LOG + "SELECT k, v FROM " + _AS_OF.format(f"seq < {BAD}"),
-    "kv_run_prune": _LOG + "SELECT p.k AS k, count(m.run) AS candidates FROM (SELECT DISTINCT k FROM oplog WHERE seq%7=0) p LEFT JOIN meta m ON p.k BETWEEN m.min_k AND m.max_k GROUP BY p.k",
+    "kv_run_prune": _LOG + "SELECT p.k AS k, count(m.run) AS candidates FROM (SELECT DISTINCT k FROM oplog) p LEFT JOIN meta m ON p.k BETWEEN m.min_k AND m.max_k GROUP BY p.k",
     "kv_bloom_sizing": _LOG + "SELECT run, num_bits, cast(greatest(1, round(num_bits/cast(n AS double)*ln(2))) AS bigint) AS num_hashes FROM (SELECT run, n, cast(greatest(8, ceil(-(n*ln(0.01))/(ln(2)*ln(2)))) AS bigint) AS num_bits FROM meta) x",
     "kv_bloom_probe": _LOG + "SELECT count(DISTINCT k) AS probed, count(DISTINCT k) AS maybe FROM oplog",
     "kv_serving_run": _LOG + "SELECT k, run, op='D' AS tomb FROM newest",
