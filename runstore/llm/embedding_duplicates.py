@@ -1,10 +1,14 @@
 """Near-duplicate embeddings by cosine: a pivot-permutation index.
 
-Pivots are vectors of a bounded sample. Each vector is described by its ``NEAREST`` nearest pivots
-in order, and posted in the inverted lists of these. Vectors of one list are candidates if they
-share at least ``SHARED`` pivots; a pair is treated in the list of its smallest shared pivot only,
-and verified in double precision. Lists are worked in blocks of bounded size, which return a count
-and one link for each vector, never pairs. Equal vectors are one entry with a weight.
+Pivots are vectors of a bounded sample, thinned so that no two have a cosine above ``APART``: a
+tight group holds one or few, however large it is. Each vector is described by its ``NEAREST``
+nearest pivots in order, the first of which is its home, and posted in the inverted lists of these.
+Vectors that share a list are candidates, and every candidate is verified in double precision. A
+pair is treated in one list only: that of a home in which both are posted (the smaller, if both
+homes are such), else that of the smallest shared pivot. Lists are worked in blocks of bounded size,
+which return a count and one link for each vector, never pairs; in a list away from home, vectors of
+a crowded home have blocks of their own, which don't meet each other. Equal vectors are one entry
+with a weight.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -22,10 +26,12 @@ from .vectors import matrix, usable_vectors
 from .workspace import Workspace
 
 LEAST = 0.95
-NEAREST, SHARED = 10, 2
+NEAREST = 10
 #: Pivots: four times the root of the number of vectors, within these bounds.
 FEW, MANY = 32, 8192
-BLOCK = 512
+APART = 0.7
+#: Rows of a block; lists of more than ``SPLIT`` blocks have up to four times as many in each.
+BLOCK, SPLIT = 512, 32
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -34,51 +40,85 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _linked(g) -> "tuple[np.ndarray, np.ndarray] | None":
-    """Pairs (rows of the frame) that are linked and belong to this list."""
+def _thinned(v: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` rows, of which none has a cosine above ``APART`` with one before it."""
+    kept = np.zeros((0, v.shape[1]))
+    for at in range(0, len(v), 1024):
+        part = v[at : at + 1024]
+        part = part[(part @ kept.T <= APART).all(1)]
+        near = part @ part.T > APART
+        keep = np.ones(len(part), bool)
+        for i in range(len(part)):
+            if keep[i]:
+                keep[i + 1 :] &= ~near[i, i + 1 :]
+        kept = np.concatenate([kept, part[keep]])
+        if len(kept) >= most:
+            break
+    return kept[:most]
+
+
+def _belong(pivot: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs posted in the list of ``pivot``, by their nearest pivots in order: which are treated in it."""
+    hx, hy = x[:, 0], y[:, 0]
+    keep = (hx == hy) & (hx == pivot)
+    rest = np.flatnonzero(hx != hy)
+    for at in range(0, len(rest), 4096):
+        k = rest[at : at + 4096]
+        a, b, ha, hb = x[k], y[k], hx[k], hy[k]
+        none = np.iinfo(np.int32).max
+        first = np.minimum(np.where((b == ha[:, None]).any(1), ha, none), np.where((a == hb[:, None]).any(1), hb, none))
+        far = np.flatnonzero(first == none)
+        common = (a[far][:, :, None] == b[far][:, None, :]).any(2)
+        first[far] = np.where(common, a[far], none).min(1)
+        keep[k] = first == pivot
+    return keep
+
+
+def _linked(g) -> np.ndarray:
+    """A matrix (rows of the one side, of the other or the same) of pairs that are linked and belong to this list."""
     side = g.side.to_numpy()
     both = side.any()
     n = int((side == 0).sum()) if both else len(g)
     v, perm = _unit(np.stack(g.v.to_list()).astype(np.float64)), np.stack(g.perm.to_list())
     a, b = (v[:n], v[n:]) if both else (v, v)
+    px, py = (perm[:n], perm[n:]) if both else (perm, perm)
     s = a @ b.T
-    near = s >= LEAST - 1e-9
+    near = s >= LEAST + 1e-9
+    i, j = np.nonzero((s >= LEAST - 1e-9) & ~near)
+    near[i, j] = (a[i] * b[j]).sum(1) >= LEAST
     if not both:
-        near &= np.arange(n)[:, None] < np.arange(n)[None, :]
-    i, j = np.nonzero(near)
-    if not len(i):
-        return None
-    j = j + n if both else j
-    keep = np.zeros(len(i), bool)
+        np.fill_diagonal(near, False)
     pivot = int(g["pivot"].iloc[0])
-    for at in range(0, len(i), 4096):
-        x, y = perm[i[at : at + 4096]], perm[j[at : at + 4096]]
-        common = (x[:, :, None] == y[:, None, :]).any(2)
-        first = np.where(common, x, np.iinfo(np.int32).max).min(1)
-        exact = (v[i[at : at + 4096]] * v[j[at : at + 4096]]).sum(1)
-        keep[at : at + 4096] = (common.sum(1) >= SHARED) & (first == pivot) & (exact >= LEAST)
-    return i[keep], j[keep]
+    # pairs at home in this list belong to it; only others are looked at one by one
+    i, j = np.nonzero(near & ~((px[:, 0] == pivot)[:, None] & (py[:, 0] == pivot)[None, :]))
+    for at in range(0, len(i), 1 << 18):
+        x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+        near[x, y] = _belong(pivot, px[x], py[y])
+    return near
 
 
 def _meet(frames):
     import pandas as pd
 
     for g in _groups(frames, ["pivot", "lo", "hi"]):
-        found = _linked(g)
-        if found is None or not len(found[0]):
+        near = _linked(g)
+        if not near.any():
             continue
-        i, j = found
-        ids, weight = g.rep.to_numpy(), g.weight.to_numpy()
-        links = np.bincount(i, weight[j], len(g)) + np.bincount(j, weight[i], len(g))
-        low = ids.copy()
+        ids, weight, n = g.rep.to_numpy(), g.weight.to_numpy().astype(np.float64), len(near)
+        both = n < len(g)
+        links = np.concatenate([near @ weight[n:], weight[:n] @ near]) if both else near @ weight
+        order, rank = np.unique(ids, return_inverse=True)
+        low, none = rank.astype(np.int32), np.int32(len(g))
         while True:  # smallest id reachable by links of this block
             before = low.copy()
-            np.minimum.at(low, i, before[j])
-            np.minimum.at(low, j, low[i])
+            other = low[n:] if both else low
+            low[:n] = np.minimum(low[:n], np.where(near, other[None, :], none).min(1))
+            if both:
+                low[n:] = np.minimum(low[n:], np.where(near, low[:n, None], none).min(0))
             if (low == before).all():
                 break
         own = np.flatnonzero(links > 0)
-        yield pd.DataFrame({"rep": ids[own], "links": links[own].astype(np.int64), "low": low[own]})
+        yield pd.DataFrame({"rep": ids[own], "links": links[own].astype(np.int64), "low": order[low[own]]})
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -98,8 +138,8 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     reps = vectors.join(classes.select(F.col("rep").alias("vec_id"), "weight"), "vec_id")
     reps = ws.cut(reps.select(F.col("vec_id").alias("rep"), "weight", "v"))
     n_pivots = min(MANY, max(FEW, 4 * math.isqrt(reps.count())))
-    some = reps.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(n_pivots).select("v").toPandas().v.to_list()
-    pivots = _unit(np.stack(some).astype(np.float64)) if some else np.zeros((0, 1))
+    some = reps.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(2 * n_pivots).select("v").toPandas().v.to_list()
+    pivots = _thinned(_unit(np.stack(some).astype(np.float64)), n_pivots) if some else np.zeros((0, 1))
 
     def post(batches):
         for b in batches:
@@ -112,9 +152,20 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *[c.take(row) for c in b.columns], perm.take(row)], ["pivot", "rep", "weight", "v", "perm"])
 
     posted = ws.cut(reps.mapInArrow(post, f"pivot int, rep long, weight long, v {reps.schema['v'].dataType.simpleString()}, perm array<int>"))
-    lists = ws.cut(posted.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    dealt = posted.join(lists, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
+    home = F.col("perm")[0]
+    crowd = posted.groupBy("pivot", home.alias("home")).count()
+    # vectors of a crowded home have blocks of their own in other lists, since they meet in its list
+    crowd = ws.cut(crowd.select("pivot", "home", "count", F.when((F.col("home") != F.col("pivot")) & (F.col("count") > BLOCK), F.col("home")).otherwise(-1).alias("kind")))
+    kinds = crowd.groupBy("pivot", "kind").agg(F.sum("count").alias("n"))
+    few = F.greatest(F.lit(SPLIT), F.ceil(F.col("n") / (4 * BLOCK)))
+    kinds = kinds.withColumn("blocks", F.least(F.ceil(F.col("n") / BLOCK), few).cast("int"))
+    of_list = Window.partitionBy("pivot")
+    upto = F.sum("blocks").over(of_list.orderBy("kind")).cast("int")
+    lists = kinds.select("pivot", "kind", "blocks", (upto - F.col("blocks")).alias("start"), F.sum("blocks").over(of_list).cast("int").alias("all"))
+    lists = ws.cut(crowd.select("pivot", "home", "kind").join(lists, ["pivot", "kind"]))
+    dealt = posted.withColumn("home", home).join(lists, ["pivot", "home"]).withColumn("block", (F.col("start") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda o: (F.col("kind") < 0) | (o < F.col("start")) | (o >= F.col("start") + F.col("blocks")))
+    other = F.transform(others, lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
     dealt = dealt.withColumn("p", F.explode(other)).select("pivot", "p.lo", "p.hi", "p.side", "rep", "weight", "v", "perm")
     met = ws.cut(dealt.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi", "side").mapInPandas(_meet, "rep long, links long, low long"), free_shuffles=True)
     ws.drop(posted)

@@ -91,3 +91,26 @@ def test_near_duplicates(table, monkeypatch, block):
     assert all((by[i].n_links, by[i].component_id, by[i].kept) == (0, i, True) for i, _ in odd if i is not None)
     assert sum(r.vec_id is None and r.n_links == 0 and r.kept for r in got) == 2
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
+
+
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_a_large_group_of_near_copies(spark, vectors_schema, n):
+    r = np.random.default_rng(8)
+    v = r.normal(size=(n, 64))
+    v[::3] = r.normal(size=64) + 0.2 * r.normal(size=(n // 3, 64))  # cosines of 0.95 and more, no two alike
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1, "") for i, x in enumerate(v)], vectors_schema).repartition(4)
+    want, low = links(np.arange(n), v.astype(np.float64))
+    assert want.sum() > (n // 3) ** 2 * 0.9
+    got = {x.vec_id: x for x in E.near_duplicate_vectors(df).collect()}
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found <= want).all() and found.sum() >= 0.999 * want.sum()
+    assert [got[i].component_id for i in range(n)] == low.tolist()
+
+
+def test_each_pair_belongs_to_one_list():
+    r = np.random.default_rng(9)
+    perm = np.array([r.permutation(14)[:10] for _ in range(300)], np.int32)
+    x, y = perm[:150], perm[150:]
+    lists = sum(E._belong(p, x, y) & (x == p).any(1) & (y == p).any(1) for p in range(14))
+    assert (lists == (x[:, :, None] == y[:, None, :]).any((1, 2))).all()
