@@ -34,6 +34,8 @@ GATHERED = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(31))
 CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)  # here A-Z differ from a-z
 POSITION = np.uint64((1 << 24) - 1)
+#: Longer texts are scanned in pieces of so many bytes, whose places fit the bits of ``POSITION``.
+PIECE = 1 << 22
 
 
 def _span_hash(sums, down, a, b):
@@ -93,14 +95,14 @@ def _scan(batches):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for row, data, offsets in slices(batch.column(1)):
-            for k, d, o in _short_enough(data, offsets):
+            for k, start, d, o in _pieces(data, offsets):
                 text, p, lo, hi, gram, region = anchors(d, o)
-                base = o[text] if len(text) else text
+                base = o[text] - start if len(text) else text
                 parts.append((ids[row + k + text], p - base, lo - base, hi - base, gram.view(np.int64), region.view(np.int64)))
                 n += len(p)
-        if n >= GATHERED:
-            yield _first_occurrences(parts)
-            parts, n = [], 0
+                if n >= GATHERED:
+                    yield _first_occurrences(parts)
+                    parts, n = [], 0
     if parts:
         yield _first_occurrences(parts)
 
@@ -121,16 +123,20 @@ def _first_occurrences(parts) -> pa.RecordBatch:
     )
 
 
-def _short_enough(data, offsets):
-    """The slice, if places in it fit the bits for them (every text but one of 16 MB does)."""
-    if len(data) <= int(POSITION):
-        yield 0, data, offsets
+def _pieces(data, offsets):
+    """The slice as it is, or its texts in pieces: (first text, the piece's start in it, bytes, offsets).
+
+    Pieces overlap by ``DEPTH`` - 1 bytes, so that each window lies in one of them. A region cut by
+    a piece's end only makes another class of its anchor.
+    """
+    if len(data) <= PIECE:
+        yield 0, 0, data, offsets
         return
     for k in range(len(offsets) - 1):
         a, b = int(offsets[k]), int(offsets[k + 1])
-        if b - a > int(POSITION):
-            raise ValueError("a text of more than 16 MB")
-        yield k, data[a:b], np.array([0, b - a])
+        for at in range(a, max(a + 1, b - DEPTH + 1), PIECE - DEPTH + 1):
+            d = data[at : min(b, at + PIECE)]
+            yield k, at - a, d, np.array([0, len(d)])
 
 
 def _classes(batches):

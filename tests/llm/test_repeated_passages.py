@@ -61,3 +61,40 @@ def test_radix_groups_are_the_equal_windows():
     for s in start:
         want.setdefault(flat[s : s + 100].tobytes(), set()).add(s)
     assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def ranges_of(rows, monkeypatch, piece):
+    """Anchors by (doc_id, place, gram), and the windows that each governs, from a scan in pieces."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "PIECE", piece)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    out = {}
+    for b in R._scan([batch]):
+        for gram, doc, place, until in zip(*(b.column(c).to_pylist() for c in ("gram", "doc_id", "place", "until"))):
+            assert until == 0
+            p = place >> 16
+            lo = p - ((place >> 8) & 255)
+            out.setdefault((doc, p, gram), set()).update(range(lo, lo + (place & 255) + 1))
+    return out
+
+
+def test_pieces_hold_every_window_once(monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, bytes(r.integers(97, 123, n).astype(np.uint8)).decode()) for i, n in enumerate((5000, 0, 99, 100, 1000, 1001, 1099, 1901, 1902))]
+    whole = ranges_of(rows, monkeypatch, 1 << 22)
+    assert ranges_of(rows, monkeypatch, 1000) == whole
+    assert sum(map(len, whole.values())) == sum(max(0, len(t) - R.DEPTH + 1) for _, t in rows)
+
+
+def test_a_text_of_more_than_16_mb(spark):
+    text = np.random.default_rng(7).bytes(9 << 20).hex()
+    step = R.PIECE - R.DEPTH + 1
+    again = text[step - 300 : step + 300] + "|" + text[-700:]
+    text += "|" + text[5000:5400]
+    n = len(text)
+    assert n > 1 << 24
+    df = spark.createDataFrame([(1, text), (2, again), (3, "short")], "doc_id long, text string")
+    got = result(R.remove_repeats(df))
+    kept = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (n, 400, 1, kept(text[:-400])), 2: (1301, 1300, 2, kept("|")), 3: (5, 0, 0, kept("short"))}
