@@ -15,11 +15,16 @@ components may belong together. The members of such a cluster finally meet with
 in blocks: every pair of different components whose similarity estimated from the registers,
 corrected for chance collisions, isn't under the threshold by more than ``MARGIN`` is verified on
 whole sets, unless links found before have joined the two.
+
+Sketches of tiny sets stray further. Links of two sets of up to ``TINY`` shingles are found exactly
+instead: each set is posted under all its subsets that can be an intersection in a link, and those
+that meet under one are linked to the smallest set there where the subset is large enough.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,7 @@ MANTISSA = 10
 ROWS, BANDS = 5, 51
 PERCENT = 75
 MARGIN = 0.15  # over five standard deviations of an estimate from 256 registers
+TINY = 11  # a set has 67 such subsets at most; with 12 shingles it would have 299
 BAND_BLOCK, BLOCK = 1024, 192  # members of a band (by sketches) or of a cluster (with texts) compared at once
 CHUNK = 64  # documents verified against one copy of the same text
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -103,6 +109,44 @@ def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
     return (same - chance) / (1 - chance)
 
 
+@lru_cache(maxsize=None)
+def _subsets(n: int) -> np.ndarray:
+    """The subsets of n things that can be what a set of n shares with a linked one, as rows of 0 and 1."""
+    least = -(-PERCENT * n // 100)
+    some = [x for c in range(least, n + 1) for x in combinations(range(n), c)]
+    out = np.zeros((len(some), n), np.uint64)
+    for row, x in zip(out, some):
+        row[list(x)] = 1
+    return out
+
+
+def _tiny(batches):
+    """(doc_id, n, shared, h1, h2): for each set of up to ``TINY`` shingles its subsets, by size and hashes."""
+    for batch in batches:
+        doc, n, shared, h1, h2 = ([np.zeros(0, np.int64)] for _ in range(5))
+        for i, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
+            if 0 < len(own) <= TINY:
+                rows = _subsets(len(own))
+                doc.append(np.full(len(rows), i)), n.append(np.full(len(rows), len(own))), shared.append(rows.sum(1).astype(np.int64))
+                h1.append((rows * mix(own + np.uint64(0x9E3779B97F4A7C15))).sum(1, dtype=np.uint64).view(np.int64))
+                h2.append((rows * mix(own ^ np.uint64(0xD1B54A32D192ED03))).sum(1, dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (doc, n, shared, h1, h2)], ["doc_id", "n", "shared", "h1", "h2"])
+
+
+def _tiny_links(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """(a, b) that are linked, as many as join all tiny sets that are; docs: (doc_id, text).
+
+    If two sets are linked by what they share, so is each with the smallest set that holds it.
+    """
+    rows = ws.cut(docs.mapInArrow(_tiny, "doc_id long, n long, shared long, h1 long, h2 long"))
+    by = ["shared", "h1", "h2"]
+    lead = rows.groupBy(by).agg(F.min(F.struct("n", "doc_id")).alias("lead"), F.count("*").alias("many")).where("many > 1").select(*by, "lead")
+    linked = rows.join(lead, by).where(100 * F.col("shared") >= PERCENT * (F.col("n") + F.col("lead.n") - F.col("shared")))
+    out = ws.cut(linked.select(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")).where("a != b").distinct(), free_shuffles=True)
+    ws.drop(rows)
+    return out
+
+
 def _sketch(batches):
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -294,7 +338,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = ws.cut(bands.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("_last")).where("lead < _last").select("key", "lead"))
     members = ws.cut(bands.join(shared, "key").select("key", "lead", "doc_id"), free_shuffles=True)
     ws.drop(bands, shared)
-    involved = ws.cut(members.select("doc_id").distinct())
+    small = reps.where(F.col("n_shingles") <= TINY).select("doc_id")
+    tiny = _tiny_links(ws, docs.join(small, "doc_id", "left_semi").select("doc_id", "text"))
+    ends = tiny.select(F.col("a").alias("doc_id")).unionByName(tiny.select(F.col("b").alias("doc_id")))
+    involved = ws.cut(members.select("doc_id").unionByName(ends).distinct())
     regs = ws.cut(full.select("doc_id", "n_shingles", "regs").join(involved, "doc_id"))
     texts = ws.cut(docs.join(involved, "doc_id"), free_shuffles=True)
 
@@ -304,7 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     star = ws.cut(paired(members.where("doc_id > lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()))
     best = star.groupBy("a").agg(F.max(F.struct("est", -F.col("b"))).alias("_x")).select("a", (-F.col("_x.col2")).alias("b"))
-    links = _verified(ws, best, texts)
+    links = _verified(ws, best, texts).select("a", "b").unionByName(tiny)
     roots = ws.cut(connected_components(ws, links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     placed = ws.cut(involved.join(roots, involved.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")))
     inside = ws.cut(members.select("key", "doc_id").join(placed, "doc_id"))

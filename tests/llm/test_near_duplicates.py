@@ -86,3 +86,13 @@ def test_registers_hold_zeros_and_mantissa():
 def test_words_are_those_of_the_pattern(corpus):
     sets = list(shingle_sets(pa.array([t for _, t in corpus], pa.large_string())))
     assert [len(s) for s in sets] == [len(shingles(t)) for _, t in corpus]
+
+
+def test_tiny_sets_that_sketches_lose(spark):
+    """Texts of 8 and 7 words with 3 of 4 shingles in common, by seeds whose sketches stray too far."""
+    rows = []
+    for s in (297, 1243, 4894, 6992, 7446, 14285, 16233, 27191, 30634, 36854, 40495, 41538, 43382, 50755, 54187, 55479, 59688):
+        rows += [(2 * s, " ".join(f"{s}x{k}" for k in range(8))), (2 * s + 1, " ".join(f"{s}x{k}" for k in range(7)))]
+    rows += [(200_000 + k, " ".join(f"t{j}" for j in range(k, k + 12 + k % 4))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(N.near_duplicates(df)) == brute(rows)
