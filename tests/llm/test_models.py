@@ -106,3 +106,13 @@ def test_flat_forest_walks_like_trees():
         return 1 / (1 + np.exp(-z))
 
     assert np.allclose([walk(row) for row in x[:50]], f.scores(x[:50]))
+
+
+def test_readme_states_the_bounds_in_force():
+    import pathlib
+
+    from runstore.llm import quality, toxicity
+
+    rows = (pathlib.Path(__file__).parents[2] / "README.md").read_text().splitlines()
+    for name, sample in (("op2_toxicity", toxicity.SAMPLE), ("op7_quality", quality.SAMPLE)):
+        assert any(f"`{name}`" in r and f"at most {sample:,} labelled rows" in r for r in rows)
