@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FALSE_POSITIVES, INDEX_INTERVAL
 from .scalar import bloom_size, entry_size, record_size
 
 
-def sparse_index(rows: DataFrame, interval: int = INDEX_INTERVAL) -> DataFrame:
-    """(run, i, key, offset): every 16th entry of each run with its place in the data block."""
-    order = Window.partitionBy("run").orderBy("key")
-    placed = rows.withColumn("i", F.row_number().over(order) - 1)
-    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum(entry_size(F.col("key"), F.col("value"))).over(ahead), F.lit(0)).cast("long"))
-    return placed.where(F.col("i") % interval == 0).select("run", F.col("i").cast("long").alias("i"), "key", "offset")
+def sparse_index(rows: DataFrame, interval: int = INDEX_INTERVAL, block: Column | None = None) -> DataFrame:
+    """(run, i, key, offset): every 16th entry of each run with its place in the data block.
+
+    ``block`` is any column that doesn't decrease as the key grows in a run, such as the file of a
+    sorted run or a key's first bytes: entries are summed within blocks first, and blocks' totals
+    then, so that no window holds more than a block or a row for each block of a run.
+    """
+    sized = rows.select("run", "key", entry_size(F.col("key"), F.col("value")).alias("_size"), (F.lit(0) if block is None else block).alias("_block"))
+    totals = sized.groupBy("run", "_block").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    earlier = Window.partitionBy("run").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    start = totals.select("run", "_block", F.coalesce(F.sum("_n").over(earlier), zero).alias("_i"), F.coalesce(F.sum("_sum").over(earlier), zero).alias("_at"))
+    own = Window.partitionBy("run", "_block").orderBy("key")
+    ahead = own.rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("_i0", F.row_number().over(own) - 1).withColumn("_at0", F.coalesce(F.sum("_size").over(ahead), zero))
+    placed = placed.join(start, ["run", "_block"]).select("run", (F.col("_i") + F.col("_i0")).cast("long").alias("i"), "key", (F.col("_at") + F.col("_at0")).alias("offset"))
+    return placed.where(F.col("i") % interval == 0)
 
 
 def log_offsets(ops: DataFrame, block: int = 1_000_000) -> DataFrame:
@@ -33,10 +43,15 @@ def log_offsets(ops: DataFrame, block: int = 1_000_000) -> DataFrame:
 
 
 def candidate_runs(meta: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, candidates): how many runs' bounds hold each distinct key. ``meta`` has a row for each run of a manifest."""
-    inside = (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))
-    hit = keys.select("key").distinct().join(F.broadcast(meta.select("run", "min_key", "max_key")), inside, "left")
-    return hit.groupBy("key").agg(F.count("run").alias("candidates"))
+    """(key, candidates): how many runs' bounds hold each distinct key. ``meta`` has a row for each run of a manifest.
+
+    The runs' bounds are one array, as small as the manifest that the driver holds anyway, and each
+    key counts in it by itself: no row is made for a key and run.
+    """
+    bounds = meta.where("min_key is not null").agg(F.collect_list(F.struct("min_key", "max_key"))).scalar()
+    inside = lambda b: (F.col("key") >= b["min_key"]) & (F.col("key") <= b["max_key"])
+    asked = keys.select("key").distinct().withColumn("_bounds", bounds)
+    return asked.select("key", F.size(F.filter("_bounds", inside)).cast("long").alias("candidates"))
 
 
 def bloom_sizing(meta: DataFrame, rate: float = FALSE_POSITIVES) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import pandas as pd
@@ -53,14 +52,23 @@ def bloom_places(key: Column, bits: int, hashes: int) -> Column:
     No built-in function has this hash; it serves to read filters that others have written.
     """
 
+    from .bloom import places
+
     @F.pandas_udf("array<long>")
-    def places(keys: pd.Series) -> pd.Series:
-        def of(k):
-            d = hashlib.blake2b(bytes(k), digest_size=16).digest()
-            a, b = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
-            b += b % 2 == 0
-            return [(a + i * b) % bits for i in range(hashes)]
+    def of_keys(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: places(bytes(k), bits, hashes), na_action="ignore")
+
+    return of_keys(key)
+
+
+def little_endian(n: Column, size: int = 4) -> Column:
+    """A number's lowest bytes, the lowest first."""
+    byte = lambda i: F.unhex(F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0"))
+    return F.concat(*[byte(i) for i in range(size)])
 
-        return keys.map(of, na_action="ignore")
 
-    return places(key)
+def record_body(op: Column, key: Column, value: Column) -> Column:
+    """What a log record's checksum covers: operation, lengths of key and value, key, and value if there is one."""
+    value = F.coalesce(value, F.lit(b""))
+    code = F.when(op == "P", F.lit(b"\x01")).otherwise(F.lit(b"\x02"))
+    return F.concat(code, little_endian(F.octet_length(key)), little_endian(F.octet_length(value)), key, value)

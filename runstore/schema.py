@@ -35,3 +35,4 @@ LOG_OPS = {1: PUT, 2: DELETE}
 TABLE_MAGIC = b"LSST"
 TABLE_FOOTER = "<QQQQQQII"  # data length, index offset and length, bloom offset and length, entries, min and max key length
 TOMBSTONE_LENGTH = 0xFFFFFFFF
+FILTER_HEADER = "<III"  # bits, hashes, bytes that follow

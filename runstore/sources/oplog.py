@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
+from itertools import dropwhile, islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bloom import Bits
 from ..operators.merge import valid_prefix
 from ..schema import LOG_HEADER, LOG_OPS, TABLE_FOOTER, TABLE_MAGIC, TOMBSTONE_LENGTH
 from ..ship import ship
 
-_HEADER, _FOOTER, _U32 = struct.Struct(LOG_HEADER), struct.Struct(TABLE_FOOTER), struct.Struct("<I")
+_HEADER, _FOOTER, _U32, _U64 = struct.Struct(LOG_HEADER), struct.Struct(TABLE_FOOTER), struct.Struct("<I"), struct.Struct("<Q")
+ROWS = 10_000  # entries of a table sent on at once
 
 
 def from_frame(df: DataFrame, seq: Column, op: Column, key: Column, value: Column) -> DataFrame:
@@ -58,36 +62,110 @@ def read_logs(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load(list(there)).select("path", "content").mapInArrow(run, schema)
 
 
+class TableFile:
+    """A binary table in memory: its footer is read at once, entries where they are asked for.
+
+    ValueError if it isn't a table. A file without a filter or an index is searched all the same.
+    """
+
+    def __init__(self, data: bytes, path: str = ""):
+        foot = len(data) - len(TABLE_MAGIC) - _FOOTER.size
+        if foot < len(TABLE_MAGIC) or not data.startswith(TABLE_MAGIC) or not data.endswith(TABLE_MAGIC):
+            raise ValueError(f"not a table file: {path}")
+        size, index_at, index_size, filter_at, filter_size, self.num_entries, n_min, n_max = _FOOTER.unpack_from(data, foot)
+        self.data, self.end = data, len(TABLE_MAGIC) + size
+        bounds = data[foot - n_min - n_max : foot]
+        self.min_key, self.max_key = bounds[:n_min] or None, bounds[n_min:] or None
+        self.filter = Bits(data[filter_at : filter_at + filter_size]) if filter_size else None
+        self.index_keys, self.index_places, at = [], [], index_at
+        while at < index_at + index_size:
+            at = self._field(at, self.index_keys)
+            self.index_places.append(_U64.unpack_from(data, at)[0] + len(TABLE_MAGIC))
+            at += _U64.size
+
+    def _field(self, at: int, into: list) -> int:
+        """Append the sized field at a place to a list (None: a tombstone); the place after it."""
+        (n,) = _U32.unpack_from(self.data, at)
+        at += _U32.size
+        if n == TOMBSTONE_LENGTH:
+            into.append(None)
+            return at
+        into.append(self.data[at : at + n])
+        return at + n
+
+    def entries(self, at: int = len(TABLE_MAGIC)):
+        """(key, value) from a place on, in key order."""
+        while at < self.end:
+            entry: list = []
+            at = self._field(self._field(at, entry), entry)
+            yield tuple(entry)
+
+    def seek(self, key: bytes) -> int:
+        """The place of the last indexed entry not above ``key``."""
+        k = bisect_right(self.index_keys, key)
+        return self.index_places[k - 1] if k else len(TABLE_MAGIC)
+
+    def may_hold(self, key: bytes) -> bool:
+        """By bounds, then by the filter; False means surely absent."""
+        if self.min_key is not None and not self.min_key <= key <= (self.max_key or b""):
+            return False
+        return self.filter is None or self.filter.may_hold(key)
+
+    def get(self, key: bytes) -> tuple[bool, bytes | None]:
+        """(found, value): a tombstone is found and has no value."""
+        if not self.may_hold(key):
+            return False, None
+        near = next((e for e in self.entries(self.seek(key)) if e[0] >= key), (None, None))
+        return (True, near[1]) if near[0] == key else (False, None)
+
+    def range(self, start: bytes | None, end: bytes | None):
+        """(key, value) with start <= key <= end, from the place that the index tells."""
+        first = dropwhile(lambda e: start is not None and e[0] < start, self.entries(len(TABLE_MAGIC) if start is None else self.seek(start)))
+        return takewhile(lambda e: end is None or e[0] <= end, first)
+
+
 def decode_table(data: bytes, path: str = "") -> tuple[dict, list[tuple[bytes, bytes | None]]]:
     """Meta and sorted entries (None: tombstone) of a binary table; ValueError if it isn't one."""
-    if data[:4] != TABLE_MAGIC or data[-4:] != TABLE_MAGIC or len(data) < _FOOTER.size + 8:
-        raise ValueError(f"not a table file: {path}")
-    at = len(data) - 4 - _FOOTER.size
-    size, _, _, _, _, n, n_min, n_max = _FOOTER.unpack_from(data, at)
-    meta = {"num_entries": n, "min_key": data[at - n_max - n_min : at - n_max] or None, "max_key": data[at - n_max : at] or None}
-    out, pos = [], 4
-    while pos < 4 + size:
-        (nk,) = _U32.unpack_from(data, pos)
-        key, pos = data[pos + 4 : pos + 4 + nk], pos + 4 + nk
-        (nv,) = _U32.unpack_from(data, pos)
-        pos += 4
-        value = None if nv == TOMBSTONE_LENGTH else data[pos : pos + nv]
-        pos += 0 if nv == TOMBSTONE_LENGTH else nv
-        out.append((key, value))
-    return meta, out
-
-
-def read_tables(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, key, tomb, value) of binary table files."""
+    t = TableFile(data, path)
+    return {"num_entries": t.num_entries, "min_key": t.min_key, "max_key": t.max_key}, list(t.entries())
+
+
+def _files(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
     ship(spark)
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+
+
+def _table_batch(rows: list[tuple]) -> pa.RecordBatch:
+    path, key, value = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(key, pa.binary()), pa.array([v is None for v in value], pa.bool_()), pa.array(value, pa.binary())], ["path", "key", "tomb", "value"])
+
+
+def read_tables(spark: SparkSession, *paths: str, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
+    """(path, key, tomb, value) of binary table files, with start <= key <= end."""
+
+    def run(batches):
+        for b in batches:
+            for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                rows = ((p, k, v) for k, v in TableFile(c, p).range(start, end))
+                while part := list(islice(rows, ROWS)):
+                    yield _table_batch(part)
+
+    return _files(spark, paths).mapInArrow(run, "path string, key binary, tomb boolean, value binary")
+
+
+def lookup_tables(spark: SparkSession, keys: list[bytes], *paths: str) -> DataFrame:
+    """(path, key, tomb, value) for each of a list of keys in each table file that holds it.
+
+    Bounds and filter rule files out; the index tells where to look in the others.
+    """
 
     def run(batches):
         for b in batches:
             for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                _, rows = decode_table(c, p)
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.string()), pa.array([k for k, _ in rows], pa.binary()), pa.array([v is None for _, v in rows], pa.bool_()), pa.array([v for _, v in rows], pa.binary())], ["path", "key", "tomb", "value"])
+                table = TableFile(c, p)
+                yield _table_batch([(p, k, v) for k in sorted(set(keys)) for found, v in (table.get(k),) if found])
 
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, "path string, key binary, tomb boolean, value binary")
+    return _files(spark, paths).mapInArrow(run, "path string, key binary, tomb boolean, value binary")
 
 
 def replayed(records: DataFrame, position: str = "seq", ok: str = "ok") -> DataFrame:
