@@ -86,6 +86,12 @@ def tail_size(rows: DataFrame) -> DataFrame:
     return newest_wins(rows, keep_tombstones=True).agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("size_bytes"))
 
 
+def payload(rows: DataFrame) -> int:
+    """Bytes of keys and values in all of ``rows`` (key, value)."""
+    size = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))
+    return rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
 def valid_prefix(records: DataFrame, position: str = "pos", ok: str = "ok", log: str | None = None) -> DataFrame:
     """The records before the first bad one of each log: what may be replayed after a crash.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
+import time
 import uuid
 
 
@@ -14,6 +16,18 @@ def storage(spark, root: str) -> "Local | Hadoop":
     return Hadoop(spark, root) if "://" in root else Local(os.path.abspath(root))
 
 
+def shared_folder(spark) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # driver and executors are one process here
+        folder = "file://" + tempfile.mkdtemp(prefix="runstore-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 class Local:
     def __init__(self, root: str):
         self.root = root
@@ -61,6 +75,13 @@ class Local:
         path = os.path.join(self.root, name)
         return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet"))
 
+    def modified(self, name: str) -> float:
+        """When it was last written, in seconds; now, if it is gone."""
+        try:
+            return os.path.getmtime(os.path.join(self.root, name))
+        except FileNotFoundError:
+            return time.time()
+
     def log(self, folder: str) -> "LocalLog":
         return LocalLog(os.path.join(self.root, folder))
 
@@ -134,6 +155,10 @@ class Hadoop:
     def size(self, name: str) -> int:
         return self.fs.getContentSummary(self._path(name)).getLength()
 
+    def modified(self, name: str) -> float:
+        p = self._path(name)
+        return self.fs.getFileStatus(p).getModificationTime() / 1000 if self.fs.exists(p) else time.time()
+
     def log(self, folder: str) -> "HadoopLog":
         return HadoopLog(self, folder)
 

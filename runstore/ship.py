@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -25,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_runstore_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="runstore-package-"), "runstore_package.zip")
+    own = tempfile.mkdtemp(prefix="runstore-package-")  # the driver's own; Spark serves the file from there
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    path = os.path.join(own, "runstore_package.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in sorted(os.walk(top)):
             for name in sorted(n for n in names if n.endswith(".py")):

@@ -41,19 +41,19 @@ def test_put_get_overwrite_delete(spark, at):
 def test_flush_merges_with_tail(spark, at):
     with RunStore(spark, at) as s:
         assert s.flush() is None
-        s.put(b"a", b"old-a")
-        s.put(b"b", b"1")
+        s.put(b"oslo", b"rain")
+        s.put(b"pisa", b"sun")
         meta = s.flush()
-        assert (meta["num_entries"], meta["min_key"], meta["max_key"]) == (2, b"a", b"b") and meta["size_bytes"] > 0
-        s.put(b"a", b"new-a")
-        s.put(b"c", b"3")
-        assert scanned(s) == [(b"a", b"new-a"), (b"b", b"1"), (b"c", b"3")]
-        assert s.get(b"a") == b"new-a" and s.get(b"b") == b"1"
-        assert s.stats()["memtable_entries"] == 2 and s.stats()["memtable_size_bytes"] == len(b"anew-ac3")
-        s.delete(b"b")
+        assert (meta["num_entries"], meta["min_key"], meta["max_key"]) == (2, b"oslo", b"pisa") and meta["size_bytes"] > 0
+        s.put(b"oslo", b"snow")
+        s.put(b"rome", b"wind")
+        assert scanned(s) == [(b"oslo", b"snow"), (b"pisa", b"sun"), (b"rome", b"wind")]
+        assert s.get(b"oslo") == b"snow" and s.get(b"pisa") == b"sun"
+        assert s.stats()["memtable_entries"] == 2 and s.stats()["memtable_size_bytes"] == len(b"oslosnowromewind")
+        s.delete(b"pisa")
         s.flush()
-        assert s.get(b"b") is NOT_FOUND and scanned(s, b"a", b"b") == [(b"a", b"new-a")]
-        assert scanned(s, as_of=2) == [(b"a", b"old-a"), (b"b", b"1")]
+        assert s.get(b"pisa") is NOT_FOUND and scanned(s, b"oslo", b"pisa") == [(b"oslo", b"snow")]
+        assert scanned(s, as_of=2) == [(b"oslo", b"rain"), (b"pisa", b"sun")]
 
 
 def test_range_bounds_and_byte_order(spark, at):
@@ -177,11 +177,117 @@ def test_crash_between_manifest_and_cleanup(spark, at, monkeypatch):
     with RunStore(spark, at) as t:  # the log is still there, and is known to be in a run
         assert t.stats()["memtable_entries"] == 0 and t.get(b"dead") is NOT_FOUND
         monkeypatch.setattr(t.files, "delete", lambda name: (_ for _ in ()).throw(OSError("crash")))
+        t.compact()  # deletes nothing
         with pytest.raises(OSError):
-            t.compact()
+            t.vacuum(0)
     with RunStore(spark, at) as t:  # no deleted key comes back, whatever old runs are left
         assert scanned(t) == [(b"a", b"1")]
-        assert len(t.vacuum()) >= 3 and scanned(t) == [(b"a", b"1")] and t.vacuum() == []
+        assert t.vacuum() == []  # nothing is old enough
+        assert len(t.vacuum(0)) >= 3 and scanned(t) == [(b"a", b"1")] and t.vacuum(0) == []
+
+
+def test_reads_keep_their_version(spark, at):
+    pairs = lambda rows: {(bytes(r.key), bytes(r.value)) for r in rows.collect()}
+    with RunStore(spark, at, flush_bytes=1 << 30) as s:
+        s.put_many(spark.createDataFrame([(b"a", b"1"), (b"b", b"1")], "key binary, value binary"))
+        s.put(b"c", b"1")
+        tail = s.scan()
+        s.flush()
+        s.put(b"a", b"2")
+        s.delete(b"b")
+        mixed = s.scan(b"a", b"c")
+        s.flush()
+        runs = s.scan()
+        s.compact()
+        assert pairs(tail) == {(b"a", b"1"), (b"b", b"1"), (b"c", b"1")}
+        assert pairs(mixed) == pairs(runs) == pairs(s.scan()) == {(b"a", b"2"), (b"c", b"1")}
+        assert s.vacuum(3600) == [] and len(pairs(tail)) == 3
+        gone = s.vacuum(0)
+        assert sum(n.startswith("runs/") for n in gone) == 2 and sum(n.startswith("oplog/") for n in gone) == 1
+        assert pairs(s.scan()) == {(b"a", b"2"), (b"c", b"1")}
+
+
+def test_vacuum_keeps_what_was_current_lately(spark, at):
+    with RunStore(spark, at, flush_bytes=1, compact_runs=99) as s:
+        for k in range(3):
+            s.put(b"k%d" % k, b"x")
+        old = s.scan()
+        s.compact()  # version 4
+        hour_ago = time.time() - 3600
+        for n in (1, 2, 3):
+            os.utime(f"{at}/_manifest/{n:010d}.json", (hour_ago + n, hour_ago + n))
+        for n in os.listdir(f"{at}/runs"):
+            os.utime(f"{at}/runs/{n}", (hour_ago, hour_ago))
+        # version 3 was current until now, so its runs stay; versions 1 and 2 aren't needed
+        assert sorted(s.vacuum(60)) == [f"_manifest/{n:010d}.json" for n in (1, 2)]
+        assert old.count() == 3
+        assert len(s.vacuum(0)) == 4 and s.scan().count() == 3
+
+
+def test_own_seq_must_be_above_all_before(spark, at):
+    rows = lambda *seqs: spark.createDataFrame([(n, bytearray(b"k"), bytearray(b"%d" % n)) for n in seqs], "seq long, key binary, value binary")
+    with RunStore(spark, at) as s:
+        s.put(b"k", b"single")  # operation 1
+        for bad in ((1,), (0, 5), (7, 7)):
+            with pytest.raises(ValueError):
+                s.put_many(rows(*bad))
+        assert s.get(b"k") == b"single"
+        s.put_many(rows(4, 9))
+        with pytest.raises(ValueError):  # a segment that isn't in a run yet counts too
+            s.put_many(rows(9))
+        assert s.get(b"k") == b"9" and scanned(s) == [(b"k", b"9")]
+
+
+def test_compaction_by_tiers(spark, at):
+    with RunStore(spark, at, flush_bytes=1 << 40, compact_runs=3) as s:
+        big = spark.range(20_000).select(F.format_string("key%06d", "id").cast("binary").alias("key"), F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("value"))
+        s.put_many(big)
+        s.flush()
+        old = s.manifest.runs[0].folder
+        for k in range(6):
+            s.put(b"new%d" % k, b"x")
+            s.delete(b"key%06d" % k)
+            s.flush()
+            assert len(s.manifest.runs) < 3
+        # small runs were merged with each other only, and keep their tombstones
+        assert [r.folder for r in s.manifest.runs][-1] == old and s.manifest.runs[0].num_entries == 12 - 2 * (len(s.manifest.runs) - 2)
+        assert s.scan().count() == 20_000 and s.get(b"key000003") is NOT_FOUND and s.get(b"new3") == b"x"
+        assert s.compact()["num_entries"] == 20_000 and s.get(b"key000003") is NOT_FOUND
+
+
+def test_batches_are_split_by_size(spark, at, monkeypatch):
+    monkeypatch.setattr("runstore.store.RUN_FILE_BYTES", 100_000)
+    ops = spark.range(1, 20_001).select(F.col("id").alias("seq"), F.lit("P").alias("op"), F.format_string("key%06d", "id").cast("binary").alias("key"), F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("value"))
+    with RunStore(spark, at) as s:
+        s.put_batch(ops, ("ops", 0))
+        files = [n for n in os.listdir(f"{at}/{s.manifest.runs[0].folder}") if n.endswith(".parquet")]
+        assert len(files) == 14 and s.manifest.runs[0].num_entries == 20_000  # of 73 bytes each
+        got = {r.i: (bytes(r.key), r.offset) for r in s.sparse_index().collect()}
+        assert len(got) == 1250 and all(got[i] == (b"key%06d" % (i + 1), i * 81) for i in got)
+
+
+def test_lookups_read_only_runs_that_may_hold_the_keys(spark, at, monkeypatch):
+    with RunStore(spark, at, compact_runs=99) as s:
+        for k, name in enumerate((b"a", b"m", b"z")):
+            s.put_many(spark.createDataFrame([(bytearray(name + b"%d" % i), bytearray(b"%d" % k)) for i in range(5)], "key binary, value binary"))
+            s.flush()
+        s.put(b"a1", b"new")
+        s.flush()
+        read = []
+        runs = RunStore._runs
+        monkeypatch.setattr(RunStore, "_runs", lambda self, r: read.append([x.id for x in r]) or runs(self, r))
+        asked = spark.createDataFrame([(bytearray(b"m1"),), (bytearray(b"m4"),), (bytearray(b"m9"),), (None,)], "key binary")
+        got = s.multi_get(asked)
+        assert {(bytes(r.key), r.found, r.value and bytes(r.value)) for r in got.collect()} == {(b"m1", True, b"1"), (b"m4", True, b"1"), (b"m9", False, None)}
+        assert read == [[2]]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "In(key" in plan[plan.index("PushedFilters") :]
+        monkeypatch.setattr("runstore.store.PUSHED_KEYS", 2)
+        assert {(bytes(r.key), r.found) for r in s.multi_get(asked).collect()} == {(b"m1", True), (b"m4", True), (b"m9", False)}
+        assert s.multi_get(asked.limit(0)).count() == 0
+        del read[:]
+        assert s.get(b"a1") == b"new" and read == [[4]]  # newer than all the others: the search ends
+        assert s.get(b"a2") == b"0" and s.get(b"zz") is NOT_FOUND
 
 
 def test_crash_before_manifest(spark, at, monkeypatch):
@@ -209,7 +315,7 @@ def test_second_writer_conflicts(spark, at):
 
 def test_empty_store(spark, at):
     with RunStore(spark, at) as s:
-        assert scanned(s) == [] and s.stats() == {"memtable_entries": 0, "memtable_size_bytes": 0, "num_runs": 0, "run_files": []}
+        assert scanned(s) == [] and s.stats() == {"memtable_entries": 0, "memtable_size_bytes": 0, "num_runs": 0, "run_files": [], "num_sstables": 0, "sstable_files": []}
 
 
 OPS = st.lists(st.one_of(st.tuples(st.just("put"), st.sampled_from([b"", b"a", b"ab", b"b", b"\xff"]), st.binary(max_size=3)), st.tuples(st.just("delete"), st.sampled_from([b"", b"a", b"ab", b"b"]), st.none()), st.tuples(st.sampled_from(["flush", "compact", "reopen"]), st.none(), st.none())), max_size=14)
@@ -284,5 +390,5 @@ def test_hadoop_file_systems(spark, at, monkeypatch):
     s.put(b"d", b"4")
     s.flush()
     s.compact()
-    assert scanned(s) == [(b"a", b"\x00\xff"), (b"c", b"3"), (b"d", b"4")] and len(s.vacuum()) >= 1
+    assert scanned(s) == [(b"a", b"\x00\xff"), (b"c", b"3"), (b"d", b"4")] and len(s.vacuum(0)) >= 1
     s.close(), t.close()
