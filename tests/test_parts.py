@@ -78,11 +78,81 @@ def test_tables_from_files(spark, tmp_path):
     meta, _ = oplog.decode_table(table_file(rows))
     assert meta == {"num_entries": 50, "min_key": b"key000", "max_key": b"key049"}
     assert oplog.decode_table(table_file([]))[0]["min_key"] is None
-    for raw in (b"this is not a table file at all", table_file(rows)[:-1], b"LSSTLSST"):
+    for raw in (b"nothing like a table, though long enough to hold a footer", table_file(rows)[:-1], b"LSSTLSST"):
         with pytest.raises(ValueError):
             oplog.decode_table(raw)
 
 
+def full_table(spark, rows, interval=16):
+    """A table file with an index and a filter, as other writers make them."""
+    data, index = b"", b""
+    for i, (k, v) in enumerate(rows):
+        index += struct.pack("<I", len(k)) + k + struct.pack("<Q", len(data)) if i % interval == 0 else b""
+        data += struct.pack("<I", len(k)) + k + (struct.pack("<I", 0xFFFFFFFF) if v is None else struct.pack("<I", len(v)) + v)
+    keys = spark.createDataFrame([(bytearray(k),) for k, _ in rows], "key binary")
+    probe = bloom.build(keys, len(rows), portable=True).to_bytes()
+    at = 4 + len(data)
+    foot = struct.pack("<QQQQQQII", len(data), at, len(index), at + len(index), len(probe), len(rows), len(rows[0][0]), len(rows[-1][0]))
+    return b"LSST" + data + index + probe + rows[0][0] + rows[-1][0] + foot + b"LSST"
+
+
+def test_lookups_in_table_files(spark, tmp_path):
+    rows = [(b"key%03d" % (2 * i), None if i % 7 == 0 else b"v%d" % i) for i in range(500)]
+    raw = full_table(spark, rows)
+    (tmp_path / "1.sst").write_bytes(raw)
+    (tmp_path / "2.sst").write_bytes(table_file(rows[:100]))
+    t = oplog.TableFile(raw)
+    assert len(t.index_keys) == 32 and list(t.entries()) == rows and t.seek(b"key") == 4
+    assert all(t.get(k) == (True, v) for k, v in rows)
+    absent = [b"key%03d" % (2 * i + 1) for i in range(500)] + [b"", b"zzz"]
+    assert all(t.get(k) == (False, None) for k in absent) and not t.may_hold(b"zzz")
+    assert sum(t.may_hold(k) for k in absent) < 0.04 * len(absent)  # the filter, sized for 1 %
+    assert next(t.entries(t.seek(b"key401")))[0] == b"key384"  # entry 192 of 500, the last indexed below
+    assert list(t.range(b"key101", b"key111")) == rows[51:56] and list(t.range(None, b"key002")) == rows[:2] and not list(t.range(b"x", None))
+    got = oplog.lookup_tables(spark, [b"key000", b"key008", b"key500", b"nope"], f"file://{tmp_path}/*.sst").collect()
+    assert sorted((r.path[-5], bytes(r.key), r.tomb, r.value and bytes(r.value)) for r in got) == [("1", b"key000", True, None), ("1", b"key008", False, b"v4"), ("1", b"key500", False, b"v250"), ("2", b"key000", True, None), ("2", b"key008", False, b"v4")]
+    part = oplog.read_tables(spark, f"file://{tmp_path}/1.sst", start=b"key101", end=b"key111")
+    assert sorted((bytes(r.key), r.value and bytes(r.value)) for r in part.collect()) == rows[51:56]
+
+
+def test_filters_as_bytes(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).cast("binary").alias("key"))
+    built = bloom.build(keys, 3000, 0.02, portable=True)
+    raw = built.to_bytes()
+    bits, hashes, n = struct.unpack_from("<III", raw)
+    assert (bits, hashes) == bloom.sizes(3000, 0.02) and n == len(raw) - 12 == -(-bits // 8)
+    plain = bytearray(n)
+    for i in range(3000):
+        for p in bloom.places(b"k%d" % i, bits, hashes):
+            plain[p // 8] |= 1 << p % 8
+    assert raw[12:] == bytes(plain)
+    again = bloom.from_bytes(spark, raw)
+    assert again.to_bytes() == raw and again.might_contain(keys).where("not maybe").count() == 0
+    some = spark.range(2000).select(F.concat(F.lit("absent"), F.col("id")).cast("binary").alias("key"))
+    maybe = {bytes(r.key) for r in again.might_contain(some).where("maybe").collect()}
+    own = bloom.Bits(raw)
+    assert maybe == {b"absent%d" % i for i in range(2000) if own.may_hold(b"absent%d" % i)} and len(maybe) < 160
+    assert not bloom.Bits(bloom.build(keys.limit(0), 0, portable=True).to_bytes()).may_hold(b"x")
+    for bad in (b"", raw[:100]):
+        with pytest.raises(ValueError):
+            bloom.Bits(bad)
+
+
+def test_sparse_index_by_blocks(spark):
+    rows = merge.entries(ops(spark, *[("P", b"k%03d" % i, b"v" * (i % 9)) for i in range(200)])).withColumn("run", F.col("seq") % 2)
+    whole = sorted(map(tuple, layout.sparse_index(rows).collect()))
+    assert len(whole) == 14 and whole == sorted(map(tuple, layout.sparse_index(rows, block=F.substring("key", 1, 3)).collect()))
+
+
+def test_candidate_runs_makes_no_row_for_a_key_and_run(spark):
+    meta = spark.createDataFrame([(1, b"a", b"m"), (2, b"c", b"z"), (3, None, None)], "run long, min_key binary, max_key binary")
+    keys = spark.createDataFrame([(b"a",), (b"d",), (b"d",), (b"zz",)], "key binary")
+    out = layout.candidate_runs(meta, keys)
+    assert {(bytes(r.key), r.candidates) for r in out.collect()} == {(b"a", 1), (b"d", 2), (b"zz", 0)}
+    assert "Join" not in plan(out)
+    assert {r.candidates for r in layout.candidate_runs(meta.limit(0), keys).collect()} == {0}
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([(bytearray(b"a\xffb"), "é")], "b binary, s string")
     r = df.select(decode(F.col("b")).alias("d"), encode(F.col("s")).alias("e"), run_name(F.lit(7)).alias("n")).first()
@@ -138,7 +208,8 @@ def test_command_line(spark, tmp_path, capsys):
     db = str(tmp_path / "data")
 
     def run(*args):
-        code = cli.run(cli.parser().parse_args(["--db", db, *args]), store)
+        parsed = cli.parser().parse_args(["--db", db, *args])
+        code = parsed.run(store, parsed)
         out = capsys.readouterr()
         return code, out.out, out.err
 
@@ -152,7 +223,7 @@ def test_command_line(spark, tmp_path, capsys):
         store.flush()
         store.put(b"f", b"F")
         store.flush()
-        assert "5 entries" in run("compact")[1]
+        assert "Merged 2 runs, which leaves 5 entries" in run("compact")[1]
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["unknown"])
 
