@@ -148,3 +148,26 @@ def test_mix_odd_rows(spark, nothing):
     assert M.mix_sources(df, levels, {}, 1.0).count() in (4, 5) and M.mix_sources(df, levels, {}, 0).count() == 0
     assert {r.doc_id for r in M.mix_sources(df, levels, {}, 2, seed=1).collect()} <= {1, None, 3, 4}
     assert M.mix_sources(nothing, levels, {}, 0.5).count() == 0
+
+
+def test_mix_with_clashing_names(spark):
+    names = ["_mix", "_leaf", "_whole", "_last", "_epoch", "row", "leaf", "epoch", "tokens", "key", "part", "ident", "last"]
+    rows = [(i, "a b c d", *[f"{n}{i}" for n in names]) for i in range(30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = M.mix_sources(df, {"domain": F.col("doc_id") % 2}, {}, 0.5, as_col="chosen")
+    assert out.columns == [*df.columns, "chosen"]
+    got = out.collect()
+    assert len(got) == 14 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    gone = M.mix_sources(df, {"domain": F.col("doc_id") % 2}, {}, 0.5)  # a column of the result's name gives way
+    assert sorted(gone.columns) == sorted(df.columns) and {r._mix.tokens for r in gone.collect()} == {4}
+
+
+def test_mix_finds_bounds_in_levels(spark, monkeypatch):
+    rows = [(i, "w " * (i % 7), "s") for i in range(3000)] + [(None, "x y", "s")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = None
+    for per_bucket in (10**6, 100, 0.01):  # no level, one, three
+        monkeypatch.setattr(M, "PER_BUCKET", per_bucket)
+        got = sorted([(str(r.doc_id), r._mix.epoch) for r in M.mix_sources(df, {"source": F.col("source")}, {}, 1.4, seed=3, epochs=2).collect()])
+        want = want or got
+        assert got == want and 3500 < len(got) < 7000
