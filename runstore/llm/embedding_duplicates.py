@@ -17,12 +17,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import deal_blocks
 from .components import connected_components
 from .near_duplicates import _groups
-from .vectors import matrix, usable_vectors
+from .vectors import by_length, matrix, usable_vectors
 from .workspace import Workspace
 
 LEAST = 0.95
@@ -121,22 +122,8 @@ def _meet(frames):
         yield pd.DataFrame({"rep": ids[own], "links": links[own].astype(np.int64), "low": order[low[own]]})
 
 
-def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every vector.
-
-    Vectors found with a cosine of 0.95 or more are linked. Those that are null, empty or zero or
-    hold null or non-finite components are linked with nothing, nor are rows without an id, which
-    come back with a null component, and kept. Of rows that repeat an id one counts; each comes
-    back. An empty table gives an empty result; other columns are ignored.
-    """
-    spark = df.sparkSession
-    ws = Workspace(spark)
-    unit = usable_vectors(df, id_col, vector_col)
-    vectors = ws.cut(unit.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")))
-    classes = ws.cut(vectors.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-    member = ws.cut(vectors.select("vec_id", "h1", "h2").join(classes, ["h1", "h2"]).select("vec_id", "rep", "weight"))
-    reps = vectors.join(classes.select(F.col("rep").alias("vec_id"), "weight"), "vec_id")
-    reps = ws.cut(reps.select(F.col("vec_id").alias("rep"), "weight", "v"))
+def _met(ws: Workspace, reps: DataFrame) -> DataFrame:
+    """(rep, links, low) of each block in which a vector has links; reps: (rep, weight, v), of one length."""
     n_pivots = min(MANY, max(FEW, 4 * math.isqrt(reps.count())))
     some = reps.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(2 * n_pivots).select("v").toPandas().v.to_list()
     pivots = _thinned(_unit(np.stack(some).astype(np.float64)), n_pivots) if some else np.zeros((0, 1))
@@ -152,23 +139,35 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *[c.take(row) for c in b.columns], perm.take(row)], ["pivot", "rep", "weight", "v", "perm"])
 
     posted = ws.cut(reps.mapInArrow(post, f"pivot int, rep long, weight long, v {reps.schema['v'].dataType.simpleString()}, perm array<int>"))
-    home = F.col("perm")[0]
-    crowd = posted.groupBy("pivot", home.alias("home")).count()
-    # vectors of a crowded home have blocks of their own in other lists, since they meet in its list
-    crowd = ws.cut(crowd.select("pivot", "home", "count", F.when((F.col("home") != F.col("pivot")) & (F.col("count") > BLOCK), F.col("home")).otherwise(-1).alias("kind")))
-    kinds = crowd.groupBy("pivot", "kind").agg(F.sum("count").alias("n"))
-    few = F.greatest(F.lit(SPLIT), F.ceil(F.col("n") / (4 * BLOCK)))
-    kinds = kinds.withColumn("blocks", F.least(F.ceil(F.col("n") / BLOCK), few).cast("int"))
-    of_list = Window.partitionBy("pivot")
-    upto = F.sum("blocks").over(of_list.orderBy("kind")).cast("int")
-    lists = kinds.select("pivot", "kind", "blocks", (upto - F.col("blocks")).alias("start"), F.sum("blocks").over(of_list).cast("int").alias("all"))
-    lists = ws.cut(crowd.select("pivot", "home", "kind").join(lists, ["pivot", "kind"]))
-    dealt = posted.withColumn("home", home).join(lists, ["pivot", "home"]).withColumn("block", (F.col("start") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda o: (F.col("kind") < 0) | (o < F.col("start")) | (o >= F.col("start") + F.col("blocks")))
-    other = F.transform(others, lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
-    dealt = dealt.withColumn("p", F.explode(other)).select("pivot", "p.lo", "p.hi", "p.side", "rep", "weight", "v", "perm")
+    # vectors of a crowded home don't meet in other lists, since they meet in its own
+    rows = posted.select("pivot", F.col("perm")[0].alias("home"), F.col("rep").alias("doc_id"), "weight", "v", "perm")
+    dealt = deal_blocks(ws, rows, "pivot", "home", BLOCK, SPLIT, within=F.col("home") == F.col("pivot"))
+    dealt = dealt.select("pivot", "lo", "hi", "side", F.col("doc_id").alias("rep"), "weight", "v", "perm")
     met = ws.cut(dealt.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi", "side").mapInPandas(_meet, "rep long, links long, low long"), free_shuffles=True)
     ws.drop(posted)
+    return met
+
+
+def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept for every vector.
+
+    Vectors found with a cosine of 0.95 or more are linked; vectors of different lengths never are.
+    Those that are null, empty or zero or hold null or non-finite components are linked with
+    nothing, nor are rows without an id, which come back with a null component, and kept. Of rows that repeat an id one counts; each comes
+    back. An empty table gives an empty result; other columns are ignored.
+    """
+    spark = df.sparkSession
+    ws = Workspace(spark)
+    unit = usable_vectors(df, id_col, vector_col)
+    vectors = ws.cut(unit.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")))
+    classes = ws.cut(vectors.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+    member = ws.cut(vectors.select("vec_id", "h1", "h2").join(classes, ["h1", "h2"]).select("vec_id", "rep", "weight"))
+    reps = vectors.join(classes.select(F.col("rep").alias("vec_id"), "weight"), "vec_id")
+    reps = ws.cut(reps.select(F.col("vec_id").alias("rep"), "weight", "v"))
+    met = None
+    for part in by_length(reps):
+        found = _met(ws, part)
+        met = found if met is None else met.unionByName(found)
     links = ws.cut(met.groupBy("rep").agg(F.sum("links").alias("links")))
     roots = ws.cut(connected_components(ws, met.select(F.col("rep").alias("u"), F.col("low").alias("v"))))
     out = member.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")

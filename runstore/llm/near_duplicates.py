@@ -11,10 +11,12 @@ The work follows components, not pairs, and no table of pairs is made within a b
 first joined to their smallest document. In each band the others are compared with its smallest
 document, and each document's best candidate there is verified on whole sets. Bands whose members
 are then still in several components are compared by registers in blocks, which only say which
-components may belong together. The members of such a cluster finally meet with their texts, again
-in blocks: every pair of different components whose similarity estimated from the registers,
-corrected for chance collisions, isn't under the threshold by more than ``MARGIN`` is verified on
-whole sets, unless links found before have joined the two.
+components may belong together, and which documents have a candidate in another component. These
+documents of such a cluster finally meet with their texts, again in blocks: every pair of different
+components whose similarity estimated from the registers, corrected for chance collisions, isn't
+under the threshold by more than ``MARGIN`` is verified on whole sets, unless links found before have
+joined the two. Members of one large component have blocks of their own, which don't meet each
+other, so that a large family and some outliers are sent in proportion to their number.
 
 Sketches of tiny sets stray further. Links of two sets of up to ``TINY`` shingles are found exactly
 instead: each set is posted under all its subsets that can be an intersection in a link, and those
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import deal_blocks
 from .components import connected_components
 from .textnum import mix, shingle_sets
 from .workspace import Workspace, one_row_per_key
@@ -48,6 +51,7 @@ _rng = np.random.Generator(np.random.PCG64(77))
 BORROW = np.argsort(_rng.random((BUCKETS, BUCKETS)), axis=1)
 EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 ROW_CODES = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
+SUMS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 BAND_CODES = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 
 
@@ -120,25 +124,20 @@ def _subsets(n: int) -> np.ndarray:
     return out
 
 
-def _tiny(batches):
-    """(doc_id, n, shared, h1, h2): for each set of up to ``TINY`` shingles its subsets, by size and hashes."""
-    for batch in batches:
-        doc, n, shared, h1, h2 = ([np.zeros(0, np.int64)] for _ in range(5))
-        for i, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
-            if 0 < len(own) <= TINY:
-                rows = _subsets(len(own))
-                doc.append(np.full(len(rows), i)), n.append(np.full(len(rows), len(own))), shared.append(rows.sum(1).astype(np.int64))
-                h1.append((rows * mix(own + np.uint64(0x9E3779B97F4A7C15))).sum(1, dtype=np.uint64).view(np.int64))
-                h2.append((rows * mix(own ^ np.uint64(0xD1B54A32D192ED03))).sum(1, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (doc, n, shared, h1, h2)], ["doc_id", "n", "shared", "h1", "h2"])
+def _tiny(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a set of up to ``TINY`` shingles the subsets that can be an intersection: sizes and two hashes."""
+    rows = _subsets(len(own))
+    of = lambda h: (rows * mix(h)).sum(1, dtype=np.uint64).view(np.int64)
+    return rows.sum(1).astype(np.int64), of(own + SUMS[0]), of(own ^ SUMS[1])
 
 
-def _tiny_links(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """(a, b) that are linked, as many as join all tiny sets that are; docs: (doc_id, text).
+def _tiny_links(ws: Workspace, reps: DataFrame) -> DataFrame:
+    """(a, b) that are linked, as many as join all tiny sets that are; reps: sketches.
 
     If two sets are linked by what they share, so is each with the smallest set that holds it.
     """
-    rows = ws.cut(docs.mapInArrow(_tiny, "doc_id long, n long, shared long, h1 long, h2 long"))
+    rows = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("subsets").alias("s")).select("doc_id", "n", "s.*")
+    rows = ws.cut(rows)
     by = ["shared", "h1", "h2"]
     lead = rows.groupBy(by).agg(F.min(F.struct("n", "doc_id")).alias("lead"), F.count("*").alias("many")).where("many > 1").select(*by, "lead")
     linked = rows.join(lead, by).where(100 * F.col("shared") >= PERCENT * (F.col("n") + F.col("lead.n") - F.col("shared")))
@@ -147,25 +146,31 @@ def _tiny_links(ws: Workspace, docs: DataFrame) -> DataFrame:
     return out
 
 
+SKETCHES = "doc_id long, n_shingles long, lo long, hi long, regs binary, bands array<long>, subsets array<struct<shared: long, h1: long, h2: long>>"
+
+
+def _lists(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of lists."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return ends, np.concatenate([np.zeros(0, np.int64), *parts])
+
+
 def _sketch(batches):
+    none = np.zeros(0, np.int64)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        n, lo, hi, regs, keys = [], [], [], [], []
-        for own in shingle_sets(texts):
+        n, lo, hi, regs, keys, subsets = [], [], [], [], [], []
+        for own in shingle_sets(batch.column(1)):
             n.append(len(own))
-            if len(own):
-                r = registers(own)
-                lo.append(int(mix(own + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)))
-                hi.append(int(mix(own ^ np.uint64(0xD1B54A32D192ED03)).sum(dtype=np.uint64)))
-                regs.append(r.tobytes())
-                keys.append(band_keys(r))
-            else:
-                lo.append(0), hi.append(0), regs.append(None), keys.append(None)
+            lo.append(int(mix(own + SUMS[0]).sum(dtype=np.uint64))), hi.append(int(mix(own ^ SUMS[1]).sum(dtype=np.uint64)))
+            r = registers(own) if len(own) else None
+            regs.append(None if r is None else r.tobytes()), keys.append(none if r is None else band_keys(r))
+            subsets.append(_tiny(own) if 0 < len(own) <= TINY else (none, none, none))
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        lengths = np.array([0 if k is None else BANDS for k in keys])
-        flat = np.concatenate([k for k in keys if k is not None]) if any(lengths) else np.zeros(0, np.int64)
-        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), signed(lo), signed(hi), pa.array(regs, pa.binary()), bands], ["doc_id", "n_shingles", "lo", "hi", "regs", "bands"])
+        of_bands, flat = _lists(keys)
+        three = [_lists([x[k] for x in subsets]) for k in range(3)]
+        struct = pa.StructArray.from_arrays([pa.array(x) for _, x in three], ["shared", "h1", "h2"])
+        columns = [batch.column(0), pa.array(n, pa.int64()), signed(lo), signed(hi), pa.array(regs, pa.binary()), pa.ListArray.from_arrays(pa.array(of_bands), pa.array(flat)), pa.ListArray.from_arrays(pa.array(three[0][0]), struct)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "lo", "hi", "regs", "bands", "subsets"])
 
 
 def _estimate(batches):
@@ -209,30 +214,36 @@ def _groups(batches, keys: list[str]):
 
 
 def _touching(batches):
-    """Pairs of components that may belong together, as few as join all that may, for each block pair of a band."""
+    """For each block pair of a band: pairs (u, v) of components that may belong together, as few as
+    join all that may, and the documents (doc) with such a candidate in another component."""
     import pandas as pd
 
     for g in _groups(batches, ["key", "lo", "hi"]):
-        root, side, n = g.root.to_numpy().copy(), g.side.to_numpy(), g.n_shingles.to_numpy()
+        root, side, n = g.root.to_numpy(), g.side.to_numpy(), g.n_shingles.to_numpy()
         if (root == root[0]).all():
             continue
         own = root.copy()
         regs = np.frombuffer(b"".join(g.regs), np.uint16).reshape(-1, BUCKETS)
         both = side.any()
-        out = []
+        out, active = [], np.zeros(len(g), bool)
         for i in range(len(g)):
             if both and side[i]:
                 break  # side 0 comes first
-            at = np.flatnonzero((own != own[i]) & (side == 1)) if both else i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+            at = np.flatnonzero((root != root[i]) & (side == 1)) if both else i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
             if not len(at):
                 continue
             at = at[_maybe(regs[i], regs[at], n[i], n[at]) >= PERCENT / 100 - MARGIN]
-            for j in at:
+            active[at] = True
+            active[i] |= len(at) > 0
+            for j in at[own[at] != own[i]]:
                 if own[j] != own[i]:
                     out.append((root[i], root[j]))
                     own[own == own[j]] = own[i]
         if out:
-            yield pd.DataFrame(out, columns=["u", "v"])
+            docs = g.doc_id.to_numpy()[active]
+            u, v = np.array(out).T
+            none = [None] * len(docs)
+            yield pd.DataFrame({"u": [*u.tolist(), *none], "v": [*v.tolist(), *none], "doc": [*[None] * len(u), *docs.tolist()]}, dtype="Int64")
 
 
 def _joined(batches):
@@ -277,14 +288,6 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(both) - shared)
 
 
-def _in_blocks(rows: DataFrame, by: str, block: int) -> DataFrame:
-    """Rows (``by``, size, doc_id, ...) dealt to pairs (lo, hi) of their group's blocks; side tells which of the two."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
-    return rows.withColumn("p", F.explode(other)).select(by, "p.lo", "p.hi", "p.side", "doc_id", "root")
-
-
 def _verify(batches):
     """Rows sorted by (b, chunk), b's own text first (a null), then texts of a: pairs that are linked."""
     held, at = None, None
@@ -327,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(spark)
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = one_row_per_key(every, "doc_id")
-    sketches = ws.cut(every.where("doc_id is null").unionByName(docs).mapInArrow(_sketch, "doc_id long, n_shingles long, lo long, hi long, regs binary, bands array<long>"))
+    sketches = ws.cut(every.where("doc_id is null").unionByName(docs).mapInArrow(_sketch, SKETCHES))
     alone = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     # Documents of equal sets: (set) -> smallest document
@@ -338,8 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = ws.cut(bands.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("_last")).where("lead < _last").select("key", "lead"))
     members = ws.cut(bands.join(shared, "key").select("key", "lead", "doc_id"), free_shuffles=True)
     ws.drop(bands, shared)
-    small = reps.where(F.col("n_shingles") <= TINY).select("doc_id")
-    tiny = _tiny_links(ws, docs.join(small, "doc_id", "left_semi").select("doc_id", "text"))
+    tiny = _tiny_links(ws, reps.where(F.col("n_shingles") <= TINY))
     ends = tiny.select(F.col("a").alias("doc_id")).unionByName(tiny.select(F.col("b").alias("doc_id")))
     involved = ws.cut(members.select("doc_id").unionByName(ends).distinct())
     regs = ws.cut(full.select("doc_id", "n_shingles", "regs").join(involved, "doc_id"))
@@ -355,13 +357,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = ws.cut(connected_components(ws, links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     placed = ws.cut(involved.join(roots, involved.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")))
     inside = ws.cut(members.select("key", "doc_id").join(placed, "doc_id"))
-    mixed = ws.cut(inside.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size")).where("_lo < _hi").select("key", "size"))
-    dealt = _in_blocks(inside.join(mixed, "key"), "key", BAND_BLOCK).join(regs, "doc_id")
-    touching = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInPandas(_touching, "u long, v long")
-    clusters = ws.cut(connected_components(ws, touching).select(F.col("node").alias("root"), F.col("root").alias("cluster")), free_shuffles=True)
-    met = ws.cut(placed.join(clusters, "root"))
-    size = ws.cut(met.groupBy("cluster").agg(F.count("*").alias("size")))
-    dealt = _in_blocks(met.join(size, "cluster"), "cluster", BLOCK).join(texts, "doc_id")
+    mixed = ws.cut(inside.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key"))
+    dealt = deal_blocks(ws, inside.join(mixed, "key"), "key", "root", BAND_BLOCK).join(regs, "doc_id")
+    touching = ws.cut(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInPandas(_touching, "u long, v long, doc long"), free_shuffles=True)
+    clusters = connected_components(ws, touching.where("u is not null").select("u", "v")).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    # texts are sent of documents with a candidate in another component only
+    active = touching.where("doc is not null").select(F.col("doc").alias("doc_id")).distinct()
+    met = ws.cut(placed.join(active, "doc_id").join(clusters, "root"))
+    dealt = deal_blocks(ws, met, "cluster", "root", BLOCK).join(texts, "doc_id")
     more = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side").mapInPandas(_joined, "u long, v long")
     last = ws.cut(connected_components(ws, more), free_shuffles=True)
     ws.drop(members, texts, regs)

@@ -11,17 +11,18 @@ from .workspace import one_row_per_key
 
 
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): one row per id with a vector that isn't null, empty or zero and has finite components only.
-
-    Vectors of another length than that of the smallest id take no part.
-    """
+    """(vec_id, v): one row per id with a vector that isn't null, empty or zero and has finite components only."""
     kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast(kind).alias("v"))
     rows = one_row_per_key(rows, "vec_id")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = rows.where(F.col("v").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
-    first = rows.agg(F.min(F.struct("vec_id", F.size("v").alias("n"))).alias("x")).select("x.n").first()
-    return rows.where(F.size("v") == (first.n if first.n is not None else 0))
+    return rows.where(F.col("v").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
+
+
+def by_length(rows: DataFrame) -> list[DataFrame]:
+    """``rows`` (vec_id, v) apart by the number of components, the commonest first: each is a space of its own."""
+    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").collect()  # a row for each length
+    return [rows] if len(lengths) <= 1 else [rows.where(F.size("v") == r.n) for r in lengths]
 
 
 def matrix(column: pa.Array) -> np.ndarray:

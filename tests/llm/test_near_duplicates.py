@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -96,3 +97,38 @@ def test_tiny_sets_that_sketches_lose(spark):
     rows += [(200_000 + k, " ".join(f"t{j}" for j in range(k, k + 12 + k % 4))) for k in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(N.near_duplicates(df)) == brute(rows)
+
+
+def test_a_family_and_outliers_are_sent_in_proportion(spark, monkeypatch):
+    """Texts of one large component meet outliers' blocks, and not each other again."""
+    from runstore.llm.blocks import deal_blocks
+    from runstore.llm.workspace import Workspace
+
+    rows = [(1, 5, i) for i in range(2000)] + [(1, 10_000 + i, 10_000 + i) for i in range(30)] + [(2, 7, 90_003), (2, 8, 90_004)]
+    df = spark.createDataFrame(rows, "cluster long, root long, doc_id long")
+    dealt = deal_blocks(Workspace(spark), df, "cluster", "root", 100).collect()
+    times = {}
+    for r in dealt:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert all(times[i] == 1 for i in range(2000)) and all(times[10_000 + i] == 21 for i in range(30))  # 20 blocks, and their own
+    met = {}
+    for r in dealt:
+        met.setdefault((r.cluster, r.lo, r.hi), {}).setdefault(r.side, set()).add(r.doc_id)
+    pairs = {(a, b) for sides in met.values() for a in sides.get(0, ()) for b in sides.get(1, sides.get(0, ()))}
+    assert all((a, 10_000) in pairs or (10_000, a) in pairs for a in range(2000)) and ((90_003, 90_004) in pairs or (90_004, 90_003) in pairs)
+
+
+def test_a_large_family_with_outliers(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "BAND_BLOCK", 6)
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(90)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(1 if i < 100 else 4):  # the last share less, some of them too little
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = brute(rows)
+    assert result(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert 1 < sum(kept for _, _, kept in want.values()) < 25

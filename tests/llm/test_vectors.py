@@ -114,3 +114,21 @@ def test_each_pair_belongs_to_one_list():
     x, y = perm[:150], perm[150:]
     lists = sum(E._belong(p, x, y) & (x == p).any(1) & (y == p).any(1) for p in range(14))
     assert (lists == (x[:, :, None] == y[:, None, :]).any((1, 2))).all()
+
+
+def test_each_length_is_a_space_of_its_own(spark, vectors_schema):
+    r = np.random.default_rng(3)
+    long, short = r.normal(size=(50, 8)), r.normal(size=(6, 3))
+    long[7] = 2 * long[3]
+    short[5] = short[1]
+    rows = [(20 * i if i < 6 else 1000 + i, x.tolist(), 1, "") for i, x in enumerate([*short, *long])]  # the smallest ids are short
+    df = spark.createDataFrame(rows, vectors_schema)
+    by = {i: np.float32(x).astype(float) for i, x, _, _ in rows}
+    found = E.near_duplicate_vectors(df).collect()
+    assert {(x.vec_id, x.component_id) for x in found if not x.kept} == {(100, 20), (1013, 1009)} and sum(x.n_links for x in found) == 4
+    got = {}
+    for x in A.nearest(df, df, k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert set(got) == set(by) and all(len(by[j]) == len(by[i]) for i, near in got.items() for j in near)
+    for i in list(by)[:6]:
+        assert got[i] == sorted((j for j in list(by)[:6] if j != i), key=lambda j: (-(by[i] * by[j]).sum(), j))[:4]
