@@ -10,9 +10,13 @@ have an equal is dropped before it is sorted:
 2. Occurrences of an anchor whose whole governed regions are equal form a class. All but the first
    of a class are repeats as a whole, and each task tells this among the anchors it has gathered
    before anything is shuffled, so a hot passage sends one row for some hundred thousand anchors.
+   A task that gathers more than ``CROWD`` classes of an anchor spreads them over ``SPREAD`` parts by
+   their regions, and tells the anchor's other occurrences that there are several classes.
 3. Only where an anchor has several classes do their first occurrences meet with their bytes, and
-   their windows are radix-sorted in digits of eight bytes. An anchor with more than ``HOT`` classes
-   isn't gathered: its windows are grouped by 128-bit hashes instead, by a distributed aggregation.
+   their windows are radix-sorted in digits of eight bytes. The windows of an anchor with more than
+   ``HOT`` classes are dealt by all their digits: Spark groups them by their bytes over all tasks.
+
+A class is told by two 64-bit hashes, of the anchor and of its region; windows are by their bytes.
 """
 
 from __future__ import annotations
@@ -28,14 +32,15 @@ from .textnum import mix, powers, slices
 from .workspace import Workspace, one_row_per_key
 
 DEPTH, GRAM = 100, 32
-HOT = 20_000
+CROWD, SPREAD, HOT = 64, 64, 4_096
 #: Anchors that a task gathers before it tells repeats among them; what is left of them is shuffled.
 GATHERED = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(31))
 CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)  # here A-Z differ from a-z
 POSITION = np.uint64((1 << 24) - 1)
 #: Longer texts are scanned in pieces of so many bytes, whose places fit the bits of ``POSITION``.
-PIECE = 1 << 22
+PIECE = 1 << 20
+LOWEST = np.iinfo(np.int64).min
 
 
 def _span_hash(sums, down, a, b):
@@ -108,6 +113,7 @@ def _scan(batches):
 
 
 def _first_occurrences(parts) -> pa.RecordBatch:
+    """Rows of three kinds: first occurrences (until 0), repeated ranges (until is their end), and marks (until -1) of spread anchors."""
     doc, p, lo, hi, gram, region = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((p, doc, region, gram))
     doc, p, lo, hi, gram, region = (x[order] for x in (doc, p, lo, hi, gram, region))
@@ -115,12 +121,23 @@ def _first_occurrences(parts) -> pa.RecordBatch:
     again[1:] = (gram[1:] == gram[:-1]) & (region[1:] == region[:-1])
     rd, ra, rb = _merged(doc[again], lo[again], hi[again] + DEPTH)
     first = ~again
-    place = (p[first] << 16) | ((p - lo)[first] << 8) | (hi - lo)[first]
-    m, r = int(first.sum()), len(rd)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([gram[first], mix(rd.astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([region[first], np.zeros(r, np.int64)])), pa.array(np.concatenate([doc[first], rd]).astype(np.int64)), pa.array(np.concatenate([place, ra])), pa.array(np.concatenate([np.zeros(m, np.int64), rb]))],
-        ["gram", "region", "doc_id", "place", "until"],
-    )
+    doc, p, lo, hi, gram, region = (x[first] for x in (doc, p, lo, hi, gram, region))
+    place = (p << 16) | ((p - lo) << 8) | (hi - lo)
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1]]))
+    many = np.diff(np.append(start, len(gram)))
+    part = np.where(np.repeat(many, many) > CROWD, 1 + (region & (SPREAD - 1)), 0)
+    marks = gram[start[many > CROWD]]
+    n, r, m = len(gram), len(rd), len(marks)
+    zeros = lambda k: np.zeros(k, np.int64)
+    columns = {
+        "gram": (gram, mix(rd.astype(np.uint64)).view(np.int64), marks),
+        "part": (part, zeros(r), zeros(m)),
+        "region": (region, zeros(r), np.full(m, LOWEST)),
+        "doc_id": (doc, rd, np.full(m, LOWEST)),
+        "place": (place, ra, zeros(m)),
+        "until": (zeros(n), rb, np.full(m, -1)),
+    }
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in columns.values()], list(columns))
 
 
 def _pieces(data, offsets):
@@ -140,33 +157,36 @@ def _pieces(data, offsets):
 
 
 def _classes(batches):
-    """From rows sorted by (gram, region, doc_id, place): ranges of all but the first of a class, and the first where a gram has several classes."""
+    """From rows sorted by (gram, part, region, doc_id, place): ranges of all but the first of a class, and the first where a gram has several classes."""
     kept = None  # the last class's first row, and whether it has been sent
     for batch in batches:
-        g, r, d, p, u = (batch.column(c).to_numpy() for c in ("gram", "region", "doc_id", "place", "until"))
+        g, s, r, d, p, u = (batch.column(c).to_numpy() for c in ("gram", "part", "region", "doc_id", "place", "until"))
         out = [(np.ones(int((u > 0).sum()), np.int8), g[u > 0], d[u > 0], p[u > 0], u[u > 0])]
-        g, r, d, p = (x[u == 0] for x in (g, r, d, p))
+        g, s, r, d, p, u = (x[u <= 0] for x in (g, s, r, d, p, u))
         if len(g):
             head = kept is not None
             if head:
-                g, r, d, p = (np.concatenate([[y], x]) for x, y in zip((g, r, d, p), kept[:4]))
+                g, s, r, d, p, u = (np.concatenate([[y], x]) for x, y in zip((g, s, r, d, p, u), kept[:6]))
             same = np.zeros(len(g), bool)
-            same[1:] = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
+            same[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1]) & (r[1:] == r[:-1]) & (u[1:] == u[:-1])
             lo = (p >> 16) - ((p >> 8) & 255)
-            out.append((np.ones(int(same.sum()), np.int8), g[same], d[same], lo[same], (lo + (p & 255) + DEPTH)[same]))
+            told = same & (u == 0)
+            out.append((np.ones(int(told.sum()), np.int8), g[told], d[told], lo[told], (lo + (p & 255) + DEPTH)[told]))
             first = np.flatnonzero(~same)
-            fg = g[first]
-            near = np.zeros(len(first), bool)
-            near[1:] |= fg[1:] == fg[:-1]
-            near[:-1] |= fg[1:] == fg[:-1]
-            send = near.copy()
-            if head and kept[4]:
+            fg, fs = g[first], s[first]
+            beside = (fg[1:] == fg[:-1]) & (fs[1:] == fs[:-1])
+            near = fs > 0  # a spread gram has several classes
+            near[1:] |= beside
+            near[:-1] |= beside
+            send = near & (u[first] == 0)
+            if head and kept[6]:
                 send[0] = False
                 near[0] = True
             at = first[send]
             out.append((np.full(len(at), 2, np.int8), g[at], d[at], p[at], np.zeros(len(at), np.int64)))
             # if the last class is alone so far, a later batch may bring another of its gram
-            kept = (g[first[-1]], r[first[-1]], d[first[-1]], p[first[-1]], bool(near[-1]))
+            last = first[-1]
+            kept = (g[last], s[last], r[last], d[last], p[last], u[last], bool(near[-1]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["kind", "gram", "doc_id", "a", "b"])
 
 
@@ -262,16 +282,17 @@ def _whole(t: pa.Table):
         yield t.slice(0, 0), t
 
 
-def _windows_hashed(batches):
-    """Of regions of hot anchors, a row for each window with its hash."""
+def _windows(batches):
+    """A row for each window of regions of crowded anchors, with its bytes."""
     for batch in batches:
-        h1, h2, doc, s = [], [], [], []
-        for d, lo, more, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lo", "more", "raw"))):
-            for j in range(more + 1):
-                x = hashlib.blake2b(raw[j : j + DEPTH], digest_size=16).digest()
-                h1.append(int.from_bytes(x[:8], "little", signed=True)), h2.append(int.from_bytes(x[8:], "little", signed=True))
-                doc.append(d), s.append(lo + j)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h1, h2, doc, s)], ["h1", "h2", "doc_id", "a"])
+        for at in range(0, batch.num_rows, 256):
+            doc, lo, more = (batch.column(c).slice(at, 256).to_numpy() for c in ("doc_id", "lo", "more"))
+            raw = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(x, np.uint8), DEPTH) for x in batch.column("raw").slice(at, 256).to_pylist()]
+            n = np.array([len(x) for x in raw])
+            total = int(n.sum())
+            j = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+            window = pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer(np.arange(0, (total + 1) * DEPTH, DEPTH, dtype=np.int32)), pa.py_buffer(np.concatenate(raw))])
+            yield pa.RecordBatch.from_arrays([window, pa.array(np.repeat(doc, n)), pa.array(np.repeat(lo, n) + j)], ["window", "doc_id", "a"])
 
 
 def _removed(batches):
@@ -293,8 +314,8 @@ def _removed(batches):
 
 def repeated_ranges(ws: Workspace, docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, a, b): byte ranges, maybe overlapping, whose union is what repeats; docs: one row per doc_id."""
-    scanned = docs.mapInArrow(_scan, "gram long, region long, doc_id long, place long, until long")
-    told = scanned.repartition("gram").sortWithinPartitions("gram", "region", "doc_id", "place")
+    scanned = docs.mapInArrow(_scan, "gram long, part long, region long, doc_id long, place long, until long")
+    told = scanned.repartition("gram", "part").sortWithinPartitions("gram", "part", "region", "doc_id", "place")
     told = ws.cut(told.mapInArrow(_classes, "kind byte, gram long, doc_id long, a long, b long"), free_shuffles=True)
     asked = told.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "a")).alias("asked"))
     regions = docs.join(ws.cut(asked), "doc_id").select("doc_id", "text", "asked")
@@ -303,9 +324,9 @@ def repeated_ranges(ws: Workspace, docs: DataFrame, hot: int = HOT) -> DataFrame
     usual = regions.join(crowded, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "doc_id", "lo")
     parts = [told.where("kind = 1").select("doc_id", "a", "b"), ws.cut(usual.mapInArrow(_sorted_windows, "doc_id long, a long, b long"))]
     if not crowded.isEmpty():
-        windows = ws.cut(regions.join(crowded, "gram").mapInArrow(_windows_hashed, "h1 long, h2 long, doc_id long, a long"))
-        first = ws.cut(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1"))
-        again = windows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "a") != F.col("first"))
+        windows = ws.cut(regions.join(crowded, "gram").mapInArrow(_windows, "window binary, doc_id long, a long"))
+        first = ws.cut(windows.groupBy("window").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+        again = windows.join(first, "window").where(F.struct("doc_id", "a") != F.col("first"))
         parts.append(again.select("doc_id", "a", (F.col("a") + DEPTH).alias("b")))
     out = parts[0]
     for p in parts[1:]:
