@@ -10,6 +10,10 @@ Decoding is Viterbi over whole texts. A token whose score for outside exceeds th
 labels by more than any transitions beside it could repay is outside in the best path, so the path
 is cut there exactly, and only the short stretches between such tokens go through the recursion,
 many at a time.
+
+A text of more than ``PIECE`` bytes is tagged in pieces that end at white space, with ``CONTEXT``
+bytes beside each; a span belongs to the piece in which it starts. Only a token longer than a piece is
+cut. Features of the file are those of the whole text.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ LOWER, UPPER, DIGIT, JOIN, HIGH = 1, 2, 4, 8, 16
 LENGTHS = np.zeros(256, np.uint8)
 for _i, _at in enumerate((2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 64)):
     LENGTHS[_at:] = _i + 1
-SHAPES, MIXES, GAPS, COARSE = 32 * 15 * 2, 8 * 8, 3, 32 * 2 * 4
+SHAPES, MIXES, GAPS, COARSE = 32 * 15 * 2, 8 * 8, 3, 32 * 2 * 8
 NEIGHBOURS = (-3, -2, -1, 1, 2, 3)
+PIECE, CONTEXT = 1 << 20, 1 << 12
+SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def tables(joining: str) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +60,27 @@ class Tokens:
     of_file: np.ndarray
 
 
+def parts_of(data: np.ndarray, offsets: np.ndarray):
+    """(start, end, core start, core end) of what is tagged at once: the slice, or pieces of its only text."""
+    n = len(data)
+    if n <= PIECE or len(offsets) > 2:
+        yield 0, n, 0, n
+        return
+    at = 0
+    while at < n:
+        end = min(n, at + PIECE)
+        if end < n:
+            spaces = np.flatnonzero(SPACES[data[at:end]])
+            end = at + int(spaces[-1]) + 1 if len(spaces) else end
+        yield max(0, at - CONTEXT), min(n, end + CONTEXT), at, end
+        at = end
+
+
+def file_features(digits, size):
+    """From the number of digits and of bytes of whole texts."""
+    return np.minimum(16 * digits // np.maximum(size, 1), 3) * 4 + np.searchsorted([200, 2000, 20000], size)
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray, cls_of: np.ndarray, bit_of: np.ndarray) -> Tokens:
     n = len(data)
     if not n:
@@ -88,13 +115,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray, cls_of: np.ndarray, bit_of: np
     ratio = np.minimum(7, (8 * digits) // np.maximum(size, 1))
     punct = kind - 1
     own = np.searchsorted(offsets, s, "right") - 1
-    total = np.diff(offsets)
-    dense = 16 * (digit[offsets[1:]] - digit[offsets[:-1]]) // np.maximum(total, 1)
-    of_file = np.minimum(dense, 3) * 4 + np.searchsorted([200, 2000, 20000], total)
+    of_file = file_features(digit[offsets[1:]] - digit[offsets[:-1]], np.diff(offsets))
     # An other token is told apart by its first byte's low bits
     lead = data[s].astype(np.int64) & 31
     shape = np.where(punct == 1, lead, has) + 32 * (length + 15 * punct)
-    coarse = np.where(punct == 1, lead, has) + 32 * (punct + 2 * np.minimum(length // 4, 3))
+    coarse = np.where(punct == 1, lead, has) + 32 * (punct + 2 * np.minimum(length, 7))
     return Tokens(s, e, own, word_hashes(data, s, e), shape, ratio * 8 + changes, gap, coarse, of_file[own])
 
 
@@ -105,6 +130,7 @@ class Tagger:
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: list[np.ndarray] = field(default_factory=list)
     trans: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
+    caution: float = 0.0  # what a token's score for outside is raised by in decoding
 
     def features(self, t: Tokens) -> list[np.ndarray]:
         """Row numbers in each table, for each token; neighbours don't reach into other texts."""
@@ -131,11 +157,12 @@ class Tagger:
         out = np.zeros((len(feats[0]), 3), np.float32)
         for w, f in zip(self.weights, feats):
             out += w.astype(np.float32)[f]
+        out[:, OUTSIDE] += self.caution
         return out
 
     # -- training -----------------------------------------------------------------------------
 
-    def fit(self, rows: list[tuple[str, list[tuple[int, int]]]], steps: int = 120, rate: float = 0.15, penalty: float = 0.1, least: int = 5) -> "Tagger":
+    def fit(self, rows: list[tuple[str, list[tuple[int, int]]]], steps: int = 90, rate: float = 0.2, penalty: float = 0.1, least: int = 5) -> "Tagger":
         """Texts with the spans (code points) to be found; words seen in ``least`` texts get weights."""
         cls_of, bit_of = tables(self.joining)
         texts = pa.array([r[0] for r in rows], pa.large_string())
@@ -256,19 +283,31 @@ class Tagger:
         """Row -> spans in code points, for the rows that have any."""
         cls_of, bit_of = tables(self.joining)
         found: dict[int, list[tuple[int, int]]] = {}
-        for row, data, offsets in slices(texts):
-            t = tokens(data, offsets, cls_of, bit_of)
-            y = self.labels(self.emissions(self.features(t)), t.text)
-            hit = np.flatnonzero(y != OUTSIDE)
-            if not len(hit):
-                continue
-            new = np.ones(len(hit), bool)
-            new[1:] = (hit[1:] != hit[:-1] + 1) | (t.text[hit[1:]] != t.text[hit[:-1]]) | (y[hit[1:]] == BEGIN)
-            at = np.flatnonzero(new)
-            last = np.append(at[1:], len(hit)) - 1
-            points = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-            for i, j in zip(hit[at], hit[last]):
-                k = t.text[i]
-                found.setdefault(row + int(k), []).append((int(points[t.start[i]] - points[offsets[k]]), int(points[t.end[j]] - points[offsets[k]])))
+        for row, whole, offsets in slices(texts):
+            parts = list(parts_of(whole, offsets))
+            of_file = file_features(sum(int(((whole[c:d] >= 48) & (whole[c:d] <= 57)).sum()) for _, _, c, d in parts), len(whole)) if len(parts) > 1 else None
+            before = 0  # code points ahead of the piece's core
+            for a, b, lo, hi in parts:
+                data = whole[a:b]
+                own = offsets if len(parts) == 1 else np.array([0, b - a])
+                t = tokens(data, own, cls_of, bit_of)
+                if of_file is not None:
+                    t.of_file[:] = of_file
+                y = self.labels(self.emissions(self.features(t)), t.text)
+                hit = np.flatnonzero(y != OUTSIDE)
+                points = np.zeros(len(data) + 1, np.int64)
+                np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+                shift = before - int(points[lo - a])
+                before += int(points[hi - a] - points[lo - a])
+                if not len(hit):
+                    continue
+                new = np.ones(len(hit), bool)
+                new[1:] = (hit[1:] != hit[:-1] + 1) | (t.text[hit[1:]] != t.text[hit[:-1]]) | (y[hit[1:]] == BEGIN)
+                at = np.flatnonzero(new)
+                last = np.append(at[1:], len(hit)) - 1
+                for i, j in zip(hit[at], hit[last]):
+                    if lo <= a + t.start[i] < hi:
+                        k = t.text[i]
+                        base = points[own[k]] - shift
+                        found.setdefault(row + int(k), []).append((int(points[t.start[i]] - base), int(points[t.end[j]] - base)))
         return found
