@@ -167,7 +167,8 @@ def held_out(column) -> F.Column:
 
 
 def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Forest:
-    """A forest from at most ``sample`` labelled ids; each distinct (id, label) counts once.
+    """A forest from at most ``sample`` labelled ids; each distinct (id, label) counts once, and of
+    rows that repeat an id the one of the smallest statistics.
 
     The sample is bounded, so it is sent to the documents, and only theirs are measured here.
     """
@@ -182,7 +183,8 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Forest:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["doc_id", "quality", "x"])
 
     rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<float>")
-    rows = rows.toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    # a row for each id, however often it is repeated
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id", "quality"], kind="stable")
     x = np.stack(rows.x.to_list()).astype(np.float32) if len(rows) else np.zeros((0, len(FEATURES)), np.float32)
     return fit_forest(x, rows.quality.to_numpy(float))
 

@@ -60,15 +60,60 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r[c] <= 1 for r in got.values() for c in X.CATEGORIES)
 
 
-def test_chain_feeds_earlier_categories(spark):
+def learned(rows):
+    """What the operator gathers from the executors, from one batch: word places, choices by fold, folds."""
+    ids, texts, toxic = np.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.large_string()), np.array([float(r[3]) for r in rows])
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(toxic.astype(np.int32)), texts], ["doc_id", "toxic", "text"])
+    sketches = [x for b in X._sketches([batch]) for x in b.column(2).to_pylist()]
+    fold = X.folds(ids, [None if x is None else np.array(x) for x in sketches])
+    counted = [b.to_pandas() for b in X._counts([batch.append_column("fold", pa.array(fold))])]
+    seen = {}
+    for t in counted:
+        for w, f, s, b in t.itertuples(index=False):
+            x = seen.setdefault(w, np.zeros((2, X.FOLDS)))
+            x[:, f] += s, b
+    words = np.array(sorted(seen, key=lambda w: np.uint64(w & (1 << 64) - 1)), np.int64)
+    chosen = []
+    for f in range(X.FOLDS + 1):
+        use = np.arange(X.FOLDS) != f
+        rate = toxic[fold != f].mean()
+        n, bad = (np.array([seen[w][k][use].sum() for w in words]) for k in (0, 1))
+        chosen.append((n >= X.LEAST_ROWS) & (abs(bad - n * rate) >= X.LEAST_DEVIATIONS * np.sqrt(np.maximum(n, 1) * rate * (1 - rate))))
+    some = np.any(chosen, 0)
+    vocabulary = words[some].view(np.uint64)
+    return texts, toxic, fold, vocabulary, np.array(chosen)[:, some], X.known_words(texts, vocabulary)
+
+
+def test_chain_feeds_earlier_categories():
     rows = made(600, 3)
-    texts = pa.array([r[1] for r in rows], pa.large_string())
-    vocabulary = np.unique(np.concatenate([X.seed_hashes(w) for w in X.SEEDS.values()]))
-    chain = X.fit_chain(len(rows), *X.known_words(texts, vocabulary), vocabulary, np.array([float(r[3]) for r in rows]), {c: X.seed_hashes(w) for c, w in X.SEEDS.items()})
-    assert [len(m.dense) for m in chain.models] == [0, 1, 2]
+    texts, toxic, fold, vocabulary, chosen, (row, col) = learned(rows)
+    chain = X.fit_chain(len(rows), row, col, vocabulary, chosen, toxic, fold, X.lengths(texts))
+    assert [len(m.dense) for m in chain.models] == [1, 2, 3, 4]  # the length, and the categories before
+    kind = X.kinds(len(rows), row, col, len(vocabulary), toxic)
+    assert set(kind[toxic == 0]) == {-1} and set(kind) == {-1, 0, 1, 2}
     p = chain.scores(texts)
-    idiot = np.array(["idiot" in r[1] for r in rows])
-    assert p[idiot, 0].mean() > 0.8 > 0.2 > p[~idiot & (np.array([r[3] for r in rows]) == 0), 0].mean()
+    assert all(p[kind == k, k].mean() > 0.5 > p[toxic == 0, k].mean() for k in range(X.KINDS))
+
+
+def test_folds_learn_nothing_from_their_own_rows():
+    rows = made(300, 4)
+    rows += [(1000 + i, t.replace(" ", "  "), q, x) for i, t, q, x in rows[:40]]  # copies
+    _, toxic, fold, vocabulary, chosen, _ = learned(rows)
+    assert (fold[300:] == fold[:40]).all() and len(set(fold)) == X.FOLDS
+    other = [(i, t, q, 1 - x if fold[k] == 0 else x) for k, (i, t, q, x) in enumerate(rows)]
+    _, _, again, words, choice, _ = learned(other)
+    assert (again == fold).all()  # folds don't depend on labels, nor do words chosen without a fold on the fold's
+    assert set(vocabulary[chosen[0]]) == set(words[choice[0]]) and set(vocabulary[chosen[-1]]) != set(words[choice[-1]])
+
+
+def test_repeated_labelled_ids_are_learned_from_once(spark):
+    rows = made(400, 6)
+    docs, labels = tables(spark, rows)
+    many = docs.unionByName(docs.where("doc_id < 40").crossJoin(spark.range(30)).drop("id"))
+    for score, names in ((Q.score_quality, ["score"]), (X.score_toxicity, list(X.CATEGORIES))):
+        want = {r.doc_id: [r[n] for n in names] for r in score(docs, labels).collect()}
+        got = score(many, labels).collect()
+        assert len(got) == 400 + 40 * 30 and all([r[n] for n in names] == want[r.doc_id] for r in got)
 
 
 def test_odd_rows_and_labels(spark, docs, corpus, labels, nothing):
