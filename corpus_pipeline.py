@@ -38,7 +38,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken to the target weights, none twice."""
-    return mixing.mix_sources(docs, levels(), WEIGHTS, budget=MIX_SHARE, seed=9).drop("_mix")
+    mix = mixing.fresh_name("_mix", docs.columns)
+    return mixing.mix_sources(docs, levels(), WEIGHTS, budget=MIX_SHARE, seed=9, as_col=mix).drop(mix)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
