@@ -47,8 +47,10 @@ def test_neighbours_are_exact_if_all_is_searched(table, monkeypatch):
     rows, df, _ = table
     ids, v = good(rows)
     monkeypatch.setattr(A, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(A, "CELL", 64)
+    monkeypatch.setattr(A, "HELD", 500)
     monkeypatch.setattr(A, "BLOCK_QUERIES", 10)
-    got = {(r.query_id, r.rank): r.vec_id for r in A.nearest(df, df.where("vec_id % 20 = 0"), k=20, search=1.0).collect()}
+    got = {(r.query_id, r.rank): r.vec_id for r in A.nearest(df, df.where("vec_id % 20 = 0"), k=20, target=1.0).collect()}
     for i in ids[::20]:
         s = (v * v[i]).sum(1)
         best = sorted((j for j in ids if j != i), key=lambda j: (-s[j], j))[:20]
@@ -125,10 +127,35 @@ def test_each_length_is_a_space_of_its_own(spark, vectors_schema):
     df = spark.createDataFrame(rows, vectors_schema)
     by = {i: np.float32(x).astype(float) for i, x, _, _ in rows}
     found = E.near_duplicate_vectors(df).collect()
-    assert {(x.vec_id, x.component_id) for x in found if not x.kept} == {(100, 20), (1013, 1009)} and sum(x.n_links for x in found) == 4
+    want = {}
+    for x in (short, long):
+        ids = np.array([i for i in by if len(by[i]) == x.shape[1]])
+        want |= {int(i): (int(n), int(c)) for i, n, c in zip(ids, *links(ids, np.array([by[i] for i in ids])))}
+    assert {x.vec_id: (x.n_links, x.component_id) for x in found} == want and want[100][1] == 20 and want[1013][1] == 1009
     got = {}
     for x in A.nearest(df, df, k=4).orderBy("query_id", "rank").collect():
         got.setdefault(x.query_id, []).append(x.vec_id)
     assert set(got) == set(by) and all(len(by[j]) == len(by[i]) for i, near in got.items() for j in near)
     for i in list(by)[:6]:
         assert got[i] == sorted((j for j in list(by)[:6] if j != i), key=lambda j: (-(by[i] * by[j]).sum(), j))[:4]
+
+
+@pytest.mark.parametrize("n", [300, 4000])
+def test_share_follows_the_data(n):
+    """Clustered rows need few products; rows in all directions many. The order of leaves is that of the queue."""
+    r = np.random.default_rng(6)
+    clustered = np.repeat(r.normal(size=(n // 25, 32)), 25, axis=0) + 0.1 * r.normal(size=(n, 32))
+    for v, most in ((clustered, 0.6 if n == 300 else 0.1), (r.normal(size=(n, 32)), 1.5)):
+        forest, share = A.fit(v, float(np.linalg.norm(v, axis=1).max()), n, 20)
+        assert 0 < share < most
+        leaves, hit = forest.leaves(v), 0
+        assert np.bincount(leaves.ravel()).max() <= 2 * A.LEAF
+        for i in range(0, n, n // 60):
+            s = v @ v[i]
+            s[i] = -np.inf
+            best = np.argsort(-s)[:20]
+            found = forest.search(v[i : i + 1], share)[0]
+            hit += np.isin(leaves[best], found).any(1).sum()
+            for j, need in zip(best[:5], forest.needed(v[i], leaves[best[:5]])):
+                assert set(leaves[j]) & set(forest.search(v[i : i + 1], need - 1e-9)[0])
+        assert hit >= 0.88 * 20 * len(range(0, n, n // 60))
