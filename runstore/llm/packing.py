@@ -26,6 +26,7 @@ from .workspace import Workspace
 
 WINDOW, GRID, PARTS = 1024, 8, 3
 CLASSES = WINDOW // GRID
+STRETCH = 1 << 20  # characters given to the tokenizer at once
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, task int, rank long"
 
 
@@ -47,13 +48,31 @@ def _encoder(json_path: str | None, ranks_path: str | None):
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if any(s in text for s in special):  # they hold no space, so that no stretch cuts one
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
 
 
+def _stretches(text: str):
+    """A text in stretches that a tokenizer's pattern parts too: each ends before a space that follows another character."""
+    at = 0
+    while len(text) - at > STRETCH:
+        cut = text.rfind(" ", at + 1, at + STRETCH)
+        while cut > at and text[cut - 1].isspace():
+            cut = text.rfind(" ", at + 1, cut)
+        if cut <= at:  # none here: the first one after it
+            cut = text.find(" ", at + STRETCH)
+            while cut >= 0 and text[cut - 1].isspace():
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def cut_pieces(docs: DataFrame, id_col: str, text_col: str, json_path: str | None, ranks_path: str | None) -> DataFrame:
     """Pieces of whole windows and rests, ranked in their class within each task."""
 
@@ -62,7 +81,9 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, json_path: str | Non
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = array("I", encode(text or ""))
+                ids = array("I")
+                for stretch in _stretches(text or ""):
+                    ids.extend(encode(stretch))
                 ids.append(0)
                 raw, n = ids.tobytes(), len(ids)
                 for start in range(0, n, WINDOW):
@@ -124,7 +145,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", json_p
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Sequences hold at most 1024 tokens. A null or empty text is its closing id 0 alone. Each row is
-    a document of its own, repeated and null ids too. An empty table gives no piece; other columns
+    a document of its own, repeated and null ids too; texts may be of any length. An empty table gives no piece; other columns
     are ignored. ``json_path`` and ``ranks_path`` name the vocabulary's files.
     """
     ws = Workspace(docs.sparkSession)

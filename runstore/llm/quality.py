@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .textnum import slices, word_bounds, word_hashes
+from .textnum import SLICE_BYTES, pieces, slices, word_bounds, word_hashes
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_sd", "upper", "digit", "punct", "odd_punct", "high", "space",
@@ -36,66 +36,93 @@ ODD = PUNCT & ~USUAL
 STOP = _mask(".!?:\"'")
 
 
+#: What is counted in a text: sums that add up over its pieces, then three that don't.
+COUNTS = (
+    "bytes", "words", "length", "square", "upper", "digit", "punct", "odd", "high", "space", "breaks", "stop", "again",
+    "odd_end", "capital", "upper_words", "short_words", "long_words", "lone", "full", "short_lines", "pipes",
+    "distinct", "most", "distinct_lines",
+)
+
+
+def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of COUNTS for each text; and all hashes of words and of lines."""
+    s, e, first = word_bounds(data, offsets)
+    n_texts = len(offsets) - 1
+    if not len(s):
+        return np.zeros((n_texts, len(COUNTS))), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    sums = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[offsets])
+    wsums = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[first])
+    length = (e - s).astype(float)
+    h = word_hashes(data, s, e)
+    own = np.repeat(np.arange(n_texts), np.diff(first))
+    # Distinct words and the commonest word's share
+    order = np.lexsort((h, own))
+    ho, oo = h[order], own[order]
+    new = np.ones(len(ho), bool)
+    new[1:] = (ho[1:] != ho[:-1]) | (oo[1:] != oo[:-1])
+    at = np.flatnonzero(new)
+    most = np.zeros(n_texts)
+    np.maximum.at(most, oo[at], np.diff(np.append(at, len(ho))))
+    again = np.zeros(len(h))
+    again[1:] = (h[1:] == h[:-1]) & (own[1:] == own[:-1])
+    # Lines
+    breaks = data == 10
+    stop = np.zeros(len(data), bool)
+    stop[1:] = breaks[1:] & STOP[data[:-1]]
+    line_of = np.concatenate([[0], np.cumsum(breaks)])[s]
+    line_new = np.ones(len(s), bool)
+    line_new[1:] = (line_of[1:] != line_of[:-1]) | (own[1:] != own[:-1])
+    la = np.flatnonzero(line_new)
+    line_words = np.diff(np.append(la, len(s)))
+    line_own = own[la]
+    with np.errstate(over="ignore"):
+        line_hash = np.add.reduceat(h * (np.arange(len(h)).astype(np.uint64) - np.repeat(la, line_words).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), la)
+    lo = np.lexsort((line_hash, line_own))
+    line_first = np.ones(len(lo), bool)
+    line_first[1:] = (line_hash[lo][1:] != line_hash[lo][:-1]) | (line_own[lo][1:] != line_own[lo][:-1])
+    upper = np.concatenate([[0], np.cumsum(UPPER[data])])
+    letters = np.concatenate([[0], np.cumsum(UPPER[data] | LOWER[data] | HIGH[data])])
+    up, let = upper[e] - upper[s], letters[e] - letters[s]
+    count = lambda x, w=None: np.bincount(x, w, n_texts)
+    out = np.stack([
+        np.diff(offsets), np.diff(first), wsums(length), wsums(length**2), sums(UPPER[data]), sums(DIGIT[data]), sums(PUNCT[data]),
+        sums(ODD[data]), sums(HIGH[data]), sums(SPACE[data]), sums(breaks), sums(stop), wsums(again), wsums(ODD[data[e - 1]]),
+        wsums(UPPER[data[s]]), wsums((up == let) & (let > 1)), wsums(length <= 2), wsums(length >= 16), wsums(let == 0),
+        count(line_own), count(line_own, line_words <= 4), sums(data == 124), count(oo[at]), most, count(line_own[lo][line_first]),
+    ], 1).astype(float)
+    return out, h, line_hash
+
+
+def _long_counts(data: np.ndarray) -> np.ndarray:
+    """COUNTS of a text of any length, piece by piece; a line cut by a piece's end counts as two."""
+    total, words, lines = np.zeros((1, len(COUNTS))), [], []
+    for a, b in pieces(data):
+        own, h, line = _counts(data[a:b], np.array([0, b - a]))
+        total += own
+        words.append(h), lines.append(line)
+    h = np.sort(np.concatenate(words))
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    total[0, -3:] = len(at), np.diff(np.append(at, len(h))).max(initial=0), len(np.unique(np.concatenate(lines)))
+    return total
+
+
 def statistics(texts: pa.Array) -> np.ndarray:
-    """A row of FEATURES for each text; null and empty texts have zeros."""
+    """A row of FEATURES for each text; null and empty texts, and those without words, have zeros."""
     out = np.zeros((len(texts), len(FEATURES)), np.float32)
     for row, data, offsets in slices(texts):
-        s, e, first = word_bounds(data, offsets)
-        if not len(s):
-            continue
-        n_texts = len(offsets) - 1
-        size, words = np.diff(offsets).astype(float), np.diff(first).astype(float)
-        some, per = np.maximum(size, 1), np.maximum(words, 1)
-        sums = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[offsets])
-        wsums = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[first])
-        length = (e - s).astype(float)
-        h = word_hashes(data, s, e)
-        mean = wsums(length) / per
-        own = np.repeat(np.arange(n_texts), np.diff(first))
-        # Distinct words and the commonest word's share
-        order = np.lexsort((h, own))
-        ho, oo = h[order], own[order]
-        new = np.ones(len(ho), bool)
-        new[1:] = (ho[1:] != ho[:-1]) | (oo[1:] != oo[:-1])
-        at = np.flatnonzero(new)
-        most = np.zeros(n_texts)
-        np.maximum.at(most, oo[at], np.diff(np.append(at, len(ho))))
-        distinct = np.bincount(oo[at], minlength=n_texts)
-        again = np.zeros(len(h))
-        again[1:] = (h[1:] == h[:-1]) & (own[1:] == own[:-1])
-        # Lines
-        breaks = data == 10
-        lines = sums(breaks) + 1
-        stop = np.zeros(len(data), bool)
-        stop[1:] = breaks[1:] & STOP[data[:-1]]
-        line_of = np.concatenate([[0], np.cumsum(breaks)])[s]
-        line_new = np.ones(len(s), bool)
-        line_new[1:] = (line_of[1:] != line_of[:-1]) | (own[1:] != own[:-1])
-        la = np.flatnonzero(line_new)
-        line_words = np.diff(np.append(la, len(s)))
-        line_own = own[la]
-        full = np.maximum(np.bincount(line_own, minlength=n_texts), 1)
-        short = np.bincount(line_own, line_words <= 4, n_texts)
-        with np.errstate(over="ignore"):
-            line_hash = np.add.reduceat(h * (np.arange(len(h)).astype(np.uint64) - np.repeat(la, line_words).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), la)
-        lo = np.lexsort((line_hash, line_own))
-        line_first = np.ones(len(lo), bool)
-        line_first[1:] = (line_hash[lo][1:] != line_hash[lo][:-1]) | (line_own[lo][1:] != line_own[lo][:-1])
-        lines_distinct = np.bincount(line_own[lo][line_first], minlength=n_texts)
-        upper = np.concatenate([[0], np.cumsum(UPPER[data])])
-        letters = np.concatenate([[0], np.cumsum(UPPER[data] | LOWER[data] | HIGH[data])])
-        up, let = upper[e] - upper[s], letters[e] - letters[s]
+        long = len(offsets) == 2 and len(data) > 2 * SLICE_BYTES
+        c = dict(zip(COUNTS, (_long_counts(data) if long else _counts(data, offsets)[0]).T))
+        some, per, full, lines = np.maximum(c["bytes"], 1), np.maximum(c["words"], 1), np.maximum(c["full"], 1), c["breaks"] + 1
+        mean = c["length"] / per
         block = np.stack([
-            np.log1p(size), np.log1p(words), mean, np.sqrt(np.maximum(wsums(length**2) / per - mean**2, 0)),
-            sums(UPPER[data]) / some, sums(DIGIT[data]) / some, sums(PUNCT[data]) / some, sums(ODD[data]) / some,
-            sums(HIGH[data]) / some, sums(SPACE[data]) / some, np.log1p(lines), words / full, short / full,
-            sums(stop) / lines, distinct / per, wsums(again) / per, most / per,
-            wsums(ODD[data[e - 1]]) / per, wsums(UPPER[data[s]]) / per, wsums((up == let) & (let > 1)) / per,
-            wsums(length <= 2) / per, wsums(length >= 16) / per, wsums(let == 0) / per, lines_distinct / full,
-            sums(data == 124) / per,
+            np.log1p(c["bytes"]), np.log1p(c["words"]), mean, np.sqrt(np.maximum(c["square"] / per - mean**2, 0)),
+            c["upper"] / some, c["digit"] / some, c["punct"] / some, c["odd"] / some, c["high"] / some, c["space"] / some,
+            np.log1p(lines), c["words"] / full, c["short_lines"] / full, c["stop"] / lines, c["distinct"] / per, c["again"] / per,
+            c["most"] / per, c["odd_end"] / per, c["capital"] / per, c["upper_words"] / per, c["short_words"] / per,
+            c["long_words"] / per, c["lone"] / per, c["distinct_lines"] / full, c["pipes"] / per,
         ], 1)
-        block[words == 0] = 0
-        out[row : row + n_texts] = block
+        block[c["words"] == 0] = 0
+        out[row : row + len(block)] = block
     return out
 
 
@@ -198,7 +225,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """doc_id, held_out, score, predicted for each row of ``docs``, from its whole text only.
 
     A forest is fitted to ``labels`` (doc_id, quality) of rows that aren't held out, at most
-    ``sample`` of them. Null and empty texts get the score of all-zero statistics. Rows give rows,
+    ``sample`` of them. Null and empty texts get the score of all-zero statistics; texts may be of
+    any length (a line of over 1 MB may count as several). Rows give rows,
     repeated and null ids too (a null id is held out); without labels the score is one half.
     """
     rows = _rows(docs, id_col, text_col)

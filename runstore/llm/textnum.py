@@ -2,6 +2,9 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. A word's hash is a polynomial
 of its bytes modulo 2**64, taken from prefix sums, so that no Python object is made for a word.
+
+Memory is bounded by a slice, and for a longer text by a piece of it and 8 bytes or so a word: a text
+of any length is worked in pieces that end at white space.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i up to n, modulo 2**64."""
+    """BASE**i and BASE**-i for i up to n, modulo 2**64; n is some slices' bytes at most."""
     if len(_powers[0]) <= n:
         for k, base in enumerate((BASE, BASE_INVERSE)):
-            x = np.full(2 * n + 1, np.uint64(base), np.uint64)
+            x = np.full(n + (1 << 16) + 1, np.uint64(base), np.uint64)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
     return _powers[0], _powers[1]
@@ -78,11 +81,62 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_
     return s, e, np.searchsorted(s, offsets)
 
 
+def _long_hash(data: np.ndarray) -> int:
+    """The polynomial of one word of any length."""
+    total = 0
+    for at in range(0, len(data), SLICE_BYTES):
+        part = data[at : at + SLICE_BYTES]
+        own = int((BYTE_CODES[part] * powers(len(part))[0][: len(part)]).sum(dtype=np.uint64))
+        total = (total + own * pow(BASE, at, 1 << 64)) & MASK
+    return total
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """Hashes of words in order, some slices' bytes of them at a time."""
+    out, k, n = np.empty(len(starts), np.uint64), 0, len(starts)
+    while k < n:
+        first = starts[k]
+        upto = max(k + 1, int(np.searchsorted(ends, first + 2 * SLICE_BYTES, "right")))
+        s, e = starts[k:upto] - first, ends[k:upto] - first
+        if e[-1] > 2 * SLICE_BYTES:  # one word
+            out[k] = _long_hash(data[first : first + e[-1]])
+        else:
+            part = data[first : first + e[-1]]
+            up, down = powers(len(part))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(BYTE_CODES[part] * up[: len(part)], out=sums[1:])
+            out[k:upto] = (sums[e] - sums[s]) * down[s]
+        k = upto
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def pieces(data: np.ndarray, limit: int = SLICE_BYTES):
+    """(start, end) of pieces of one text, each of about ``limit`` bytes, which end after white space; a longer run without any is one piece."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(n, at + limit)
+        if end < n:
+            spaces = np.flatnonzero(IS_SPACE[data[at:end]])
+            if len(spaces):
+                end = at + int(spaces[-1]) + 1
+            while end < n and not IS_SPACE[data[end - 1]]:
+                after = np.flatnonzero(IS_SPACE[data[end : end + limit]])
+                end = end + int(after[0]) + 1 if len(after) else min(n, end + limit)
+        yield at, end
+        at = end
+
+
+def hashes_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a slice's texts, with the number before each text."""
+    if len(data) <= 2 * SLICE_BYTES or len(offsets) > 2:
+        s, e, first = word_bounds(data, offsets)
+        return word_hashes(data, s, e), first
+    found = []
+    for a, b in pieces(data):
+        s, e, _ = word_bounds(data[a:b], np.array([0, b - a]))
+        found.append(word_hashes(data[a:b], s, e))
+    h = np.concatenate(found)
+    return h, np.array([0, len(h)])
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,21 +144,26 @@ def shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = np.diff(first)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     before = np.concatenate([[0], np.cumsum(count)])
-    at = np.arange(before[-1]) + np.repeat(first[:-1] - before[:-1], count)
-    size = np.repeat(np.minimum(n, SHINGLE), count)
-    total = size.astype(np.uint64) * SHINGLE_CODES[SHINGLE]
-    padded = np.concatenate([hashes, np.zeros(SHINGLE, np.uint64)])
-    for k in range(SHINGLE):
-        w = padded[at + k] * SHINGLE_CODES[k]
-        total += w if (size > k).all() else np.where(size > k, w, np.uint64(0))
-    return mix(total), before
+    out = np.empty(before[-1], np.uint64)
+    shift, short = first[:-1] - before[:-1], n < SHINGLE
+    for lo in range(0, len(out), SLICE_BYTES):
+        hi = min(len(out), lo + SLICE_BYTES)
+        own = np.searchsorted(before, np.arange(lo, hi), "right") - 1
+        at = np.arange(lo, hi) + shift[own]
+        size = np.minimum(n[own], SHINGLE)
+        total = size.astype(np.uint64) * SHINGLE_CODES[SHINGLE]
+        some = short[own].any()
+        for k in range(SHINGLE):
+            w = hashes[np.minimum(at + k, len(hashes) - 1)] * SHINGLE_CODES[k]
+            total += np.where(size > k, w, np.uint64(0)) if some else w
+        out[lo:hi] = mix(total)
+    return out, before
 
 
 def shingle_sets(texts: pa.Array):
     """For each text in turn, its sorted distinct shingle hashes."""
     for _, data, offsets in slices(texts):
-        s, e, first = word_bounds(data, offsets)
-        h, before = shingles(word_hashes(data, s, e), first)
+        h, before = shingles(*hashes_of_words(data, offsets))
         for k in range(len(before) - 1):
             own = np.sort(h[before[k] : before[k + 1]])
             if len(own) > 1:

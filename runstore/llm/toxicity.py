@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .textnum import mix, shingle_sets, slices, word_bounds, word_hashes
+from .textnum import SLICE_BYTES, mix, pieces, shingle_sets, slices, word_bounds, word_hashes
 from .workspace import Workspace, one_row_per_key
 
 KINDS = 3
@@ -54,6 +54,19 @@ def _features(data: np.ndarray, offsets: np.ndarray):
     yield own[1:][near], mix(h[:-1][near] * PAIR_CODES[0] + h[1:][near] * PAIR_CODES[1])
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray):
+    """The slice, or its only text in pieces; each starts with the last word of the one before, for the pair of both."""
+    if len(data) <= 2 * SLICE_BYTES or len(offsets) > 2:
+        yield data, offsets
+        return
+    back = 0
+    for a, b in pieces(data):
+        part = data[a - back : b]
+        yield part, np.array([0, len(part)])
+        s, _, _ = word_bounds(part, np.array([0, len(part)]), NOT_LETTER)
+        back = len(part) - int(s[-1]) if len(s) and len(part) - s[-1] < SLICE_BYTES else 0
+
+
 def _distinct(own: np.ndarray, h: np.ndarray):
     order = np.lexsort((h, own))
     own, h = own[order], h[order]
@@ -65,8 +78,11 @@ def _distinct(own: np.ndarray, h: np.ndarray):
 def distinct_words(texts: pa.Array):
     """For slices of texts: first row, number of texts, and the text and hash of each distinct feature."""
     for row, data, offsets in slices(texts):
-        own, h = (np.concatenate(x) for x in zip(*_features(data, offsets)))
-        yield row, len(offsets) - 1, *_distinct(own, h)
+        own, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for part in _parts(data, offsets):
+            for more_own, more in _features(*part):
+                own, h = _distinct(np.concatenate([own, more_own]), np.concatenate([h, more]))
+        yield row, len(offsets) - 1, own, h
 
 
 def known_words(texts: pa.Array, vocabulary: np.ndarray):
@@ -75,12 +91,16 @@ def known_words(texts: pa.Array, vocabulary: np.ndarray):
     top = np.zeros(1 << 16, bool)
     top[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
     for row, data, offsets in slices(texts) if len(vocabulary) else ():
-        for own, h in _features(data, offsets):
-            maybe = top[(h >> np.uint64(48)).astype(np.int64)]
-            own, h = _distinct(own[maybe], h[maybe])
-            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            hit = vocabulary[at] == h
-            rows.append(row + own[hit]), cols.append(at[hit])
+        mine = []
+        for part in _parts(data, offsets):
+            for own, h in _features(*part):
+                maybe = top[(h >> np.uint64(48)).astype(np.int64)]
+                own, h = _distinct(own[maybe], h[maybe])
+                at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                hit = vocabulary[at] == h
+                mine.append((own[hit], at[hit]))
+        own, at = _distinct(*(np.concatenate(x) for x in zip(*mine)))  # pieces of a text may share words
+        rows.append(row + own), cols.append(at)
     return np.concatenate(rows), np.concatenate(cols)
 
 
