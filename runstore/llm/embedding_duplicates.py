@@ -29,7 +29,7 @@ from .workspace import Workspace
 LEAST = 0.95
 NEAREST = 10
 #: Pivots: four times the root of the number of vectors, within these bounds.
-FEW, MANY = 32, 8192
+FEW, MANY = 32, 32_768
 APART = 0.7
 #: Rows of a block; lists of more than ``SPLIT`` blocks have up to four times as many in each.
 BLOCK, SPLIT = 512, 32
@@ -125,8 +125,8 @@ def _meet(frames):
 def _met(ws: Workspace, reps: DataFrame) -> DataFrame:
     """(rep, links, low) of each block in which a vector has links; reps: (rep, weight, v), of one length."""
     n_pivots = min(MANY, max(FEW, 4 * math.isqrt(reps.count())))
-    some = reps.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(2 * n_pivots).select("v").toPandas().v.to_list()
-    pivots = _thinned(_unit(np.stack(some).astype(np.float64)), n_pivots) if some else np.zeros((0, 1))
+    some = reps.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(2 * n_pivots).select("v").toArrow().column("v").combine_chunks()
+    pivots = _thinned(_unit(matrix(some)), n_pivots) if len(some) else np.zeros((0, 1))
 
     def post(batches):
         for b in batches:

@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked if 100 * shared >= 75 * united five-word shingles; component_id is the
     smallest doc_id reachable by links. Null and empty texts have no shingles and are linked with
-    nothing. Rows without an id come back unlinked, with a null component, and kept. Of rows that
+    nothing; texts may be of any length. Rows without an id come back unlinked, with a null component, and kept. Of rows that
     repeat an id, the one with the smallest text counts. An empty table gives an empty result;
     other columns are ignored.
     """

@@ -69,6 +69,7 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     breaks = data == 10
     stop = np.zeros(len(data), bool)
     stop[1:] = breaks[1:] & STOP[data[:-1]]
+    stop[offsets[:-1][offsets[:-1] < len(data)]] = False  # what ends the text before doesn't count
     line_of = np.concatenate([[0], np.cumsum(breaks)])[s]
     line_new = np.ones(len(s), bool)
     line_new[1:] = (line_of[1:] != line_of[:-1]) | (own[1:] != own[:-1])

@@ -152,7 +152,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text_col`` replaced by ``mark``; overlapping spans are one.
 
-    All other columns and the number of rows stay; a null text stays null.
+    All other columns and the number of rows stay; a null text stays null, and texts may be of any length.
     """
     ship(docs.sparkSession)
     model, schema, at = tagger(), docs.schema, docs.columns.index(text_col)

@@ -24,7 +24,6 @@ class Workspace:
         ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/runstore-{uuid.uuid4().hex}"
-        self._at: dict[int, str] = {}
         self._n = 0
         atexit.register(self._remove, self.root)
 
@@ -42,7 +41,7 @@ class Workspace:
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._at[id(out)] = path
+        out._workspace_path = path
         if free_shuffles:
             self.free()
         return out
@@ -53,7 +52,7 @@ class Workspace:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self._at.pop(id(df), None)
+            path, df._workspace_path = getattr(df, "_workspace_path", None), None
             if path:
                 self._remove(path)
 

@@ -1,6 +1,9 @@
 """Quality and toxicity."""
 
+import collections
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -134,6 +137,66 @@ def test_statistics_of_batches_and_single_texts_agree(corpus, monkeypatch):
     assert whole.shape == (len(corpus), len(Q.FEATURES)) and np.isfinite(whole).all() and np.allclose(whole, alone)
 
 
+def plain_statistics(text):
+    """The same statistics by plain loops over bytes, words and lines."""
+    b = (text or "").encode()
+    low = lambda w: bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    if not words:
+        return [0.0] * len(Q.FEATURES)
+    upper, lower, digit, space = (lambda c: 65 <= c <= 90), (lambda c: 97 <= c <= 122), (lambda c: 48 <= c <= 57), (lambda c: c in b" \t\n\v\f\r")
+    letter = lambda c: upper(c) or lower(c) or c >= 128
+    punct = lambda c: not (letter(c) or digit(c) or space(c))
+    odd = lambda c: punct(c) and c not in b".,;:'\"-()?"
+    per, n, mean = len(words), len(b), sum(map(len, words)) / len(words)
+    share = lambda f: sum(map(f, b)) / n
+    of_words = lambda f: sum(bool(f(w)) for w in words) / per
+    lines = [[low(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", x)] for x in b.split(b"\n")]
+    full = [x for x in lines if x]
+    count = collections.Counter(map(low, words))
+    return [
+        math.log1p(n), math.log1p(per), mean, math.sqrt(max(0, sum(len(w) ** 2 for w in words) / per - mean**2)),
+        share(upper), share(digit), share(punct), share(odd), share(lambda c: c >= 128), share(space), math.log1p(len(lines)), per / len(full),
+        sum(len(x) <= 4 for x in full) / len(full), sum(b[i] == 10 and b[i - 1] in b".!?:\"'" for i in range(1, n)) / len(lines), len(count) / per,
+        sum(low(x) == low(y) for x, y in zip(words, words[1:])) / per, max(count.values()) / per, of_words(lambda w: odd(w[-1])), of_words(lambda w: upper(w[0])),
+        of_words(lambda w: sum(map(letter, w)) > 1 and sum(map(letter, w)) == sum(map(upper, w))), of_words(lambda w: len(w) <= 2), of_words(lambda w: len(w) >= 16),
+        of_words(lambda w: not any(map(letter, w))), len(set(map(tuple, full))) / len(full), b.count(b"|") / per,
+    ]
+
+
+def test_statistics_like_plain_loops(corpus):
+    texts = [t for _, t in corpus if len(t or "") < 5000] + ["Ends so.", "\nstarts with a break", "A|B | c\n\nA|b | C\nÉTÉ AB 12 x1 !!", "a.\n\n\n"]
+    got = Q.statistics(pa.array(texts, pa.large_string()))
+    assert np.allclose(got, [plain_statistics(t) for t in texts], rtol=1e-4, atol=1e-6)
+
+
+def plain_words(text):
+    """A text's words, beginnings and pairs, by plain loops."""
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())]
+    return {("word", w) for w in words} | {(n, w[:n]) for w in words for n in X.PREFIXES if len(w) > n} | {("pair", *p) for p in zip(words, words[1:])}
+
+
+def test_chain_scores_like_plain_python():
+    rows = made(300, 7)
+    texts, toxic, fold, vocabulary, chosen, (row, col) = learned(rows)
+    chain = X.fit_chain(len(rows), row, col, vocabulary, chosen, toxic, fold, X.lengths(texts))
+    one = lambda w: X.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+    place = {int(h): k for k, h in enumerate(vocabulary)}
+    for k in range(0, 300, 11):
+        known = set()
+        for what, *w in plain_words(rows[k][1]):
+            h = one(w[0]) if what == "word" else X.mix(one(w[0]) ^ X.PREFIX_CODES[what]) if what != "pair" else X.mix(one(w[0]) * X.PAIR_CODES[0] + one(w[1]) * X.PAIR_CODES[1])
+            if int(h[0]) in place:
+                known.add(place[int(h[0])])
+        dense, want = [math.log1p(len(rows[k][1].encode())) / 2 - 3.5], []
+        for m in chain.models:
+            z = m.base + sum(m.words[j] for j in known) + sum(a * b for a, b in zip(m.dense, dense))
+            want.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+            p = min(max(want[-1], 1e-6), 1 - 1e-6)
+            dense.append(math.log(p) - math.log1p(-p))
+        assert np.allclose(chain.scores(texts.slice(k, 1))[0], want, atol=1e-9)
+
+
 def test_flat_forest_walks_like_trees():
     r = np.random.default_rng(1)
     x = r.normal(size=(500, 6)).astype(np.float32)

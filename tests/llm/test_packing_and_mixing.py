@@ -5,6 +5,7 @@ from itertools import groupby
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +55,13 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_all_documents_are_the_tokenizers(tokenizer):
+    encode = P._encoder(None, None)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(list(encode(t)) == w.ids for t, w in zip(texts, want))
+
+
 def test_odd_ids_and_empty_table(spark, nothing):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
     got = P.pack(df).collect()
