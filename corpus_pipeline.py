@@ -25,7 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
+    """One document of each group of near duplicates stays, that of the smallest id.
+
+    Rows that repeat an id stay or go together, by the one with the smallest text.
+    """
     found = near_duplicates.near_duplicates(docs)
     return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
