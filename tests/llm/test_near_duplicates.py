@@ -132,3 +132,16 @@ def test_a_large_family_with_outliers(spark, monkeypatch):
     want = brute(rows)
     assert result(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
     assert 1 < sum(kept for _, _, kept in want.values()) < 25
+
+
+def test_components_of_paths_stars_and_circles(spark):
+    from runstore.llm.components import connected_components
+    from runstore.llm.workspace import Workspace
+
+    r = random.Random(2)
+    path = list(range(100, 160))
+    r.shuffle(path)
+    edges = [*zip(path, path[1:]), *[(7, i) for i in range(200, 230)], (301, 302), (302, 303), (303, 301), (5, 5), (-3, 4), (4, 9)]
+    roots = {r.node: r.root for r in connected_components(Workspace(spark), spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert roots == {i: 100 for i in range(100, 160)} | {i: 7 for i in (7, *range(200, 230))} | {301: 301, 302: 301, 303: 301} | {-3: -3, 4: -3, 9: -3}
+    assert connected_components(Workspace(spark), spark.createDataFrame([], "u long, v long")).count() == 0
