@@ -98,3 +98,44 @@ def test_a_text_of_more_than_16_mb(spark):
     got = result(R.remove_repeats(df))
     kept = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == {1: (n, 400, 1, kept(text[:-400])), 2: (1301, 1300, 2, kept("|")), 3: (5, 0, 0, kept("short"))}
+
+
+@pytest.mark.parametrize(("crowd", "rows_of_batch"), [(64, 1000), (2, 1000), (2, 5), (1, 1)])
+def test_spread_anchors_lose_no_repeat(monkeypatch, crowd, rows_of_batch):
+    """Tasks that spread an anchor, and tasks that don't, together find what brute force does."""
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "CROWD", crowd)
+    monkeypatch.setattr(R, "SPREAD", 4)
+    r = random.Random(5)
+    prose = lambda n: "".join(r.choice("abcdefg ") for _ in range(n))
+    line = "All rights are reserved by the owners of this very line of text, as ever."
+    rows = [(i, prose(r.randrange(30, 90)) + line + prose(r.randrange(30, 90))) for i in range(40)]
+    rows += [(40 + i, prose(20) + rows[3 * i][1][10:190] + prose(20)) for i in range(12)]
+    rows += [(60 + i, rows[i][1]) for i in range(5)]
+    parts = []
+    for own in (rows[::3], rows[1::3][:4], rows[2::3], rows[1::3][4:]):  # one task each, some with few of them
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in own]), pa.array([t for _, t in own])], ["doc_id", "text"])
+        parts += R._scan([batch])
+    table = pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in ("gram", "part", "region", "doc_id", "place")]).combine_chunks()
+    assert (max(table.column("part").to_pylist()) > 0) == (crowd < 64)
+    gone, asked = {i: set() for i, _ in rows}, {}
+    for b in R._classes(table.to_batches(max_chunksize=rows_of_batch)):
+        for kind, gram, doc, x, y in zip(*(b.column(k).to_pylist() for k in range(5))):
+            if kind == 1:
+                gone[doc].update(range(x, y))
+            else:
+                p = x >> 16
+                asked.setdefault(gram, []).append((doc, p - ((x >> 8) & 255), x & 255))
+    text = dict(rows)
+    for regions in asked.values():
+        seen = set()
+        for doc, s in sorted({(doc, lo + j) for doc, lo, more in regions for j in range(more + 1)}):
+            window = text[doc][s : s + R.DEPTH]
+            if window in seen:
+                gone[doc].update(range(s, s + R.DEPTH))
+            seen.add(window)
+    want = brute(rows)
+    assert {i: len(x) for i, x in gone.items()} == {i: x[1] for i, x in want.items()} and sum(x[1] for x in want.values()) > 2000
