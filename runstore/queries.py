@@ -6,6 +6,7 @@ and a run holds a thousand operations.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -162,9 +163,17 @@ def kv_stats(spark, sf_dir):
     return merge.tail_size(runs.where(F.col("run") == last)).select("entries", "size_bytes", (n - 1).alias("num_runs"))
 
 
+def _forget(store: RunStore) -> None:
+    try:
+        store.files.delete("")
+    except Exception:  # the session has ended, and with it its file systems
+        pass
+
+
 def _store(spark: SparkSession, sf_dir: str, flushed: int) -> RunStore:
     """A new store with the log of events, a third of it at a time; the first ``flushed`` thirds are runs."""
     store = RunStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", flush_bytes=1 << 60, compact_runs=1 << 30)
+    atexit.register(_forget, store)  # results are read later than the query returns
     part = (_last(spark, sf_dir) + 1) / 3
     # operations of a store count from 1
     ops = log(spark, sf_dir).withColumn("_third", F.floor(F.col("seq") / part)).withColumn("seq", F.col("seq") + 1)
