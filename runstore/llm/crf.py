@@ -32,7 +32,7 @@ for _i, _at in enumerate((2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 64)):
     LENGTHS[_at:] = _i + 1
 SHAPES, MIXES, GAPS, COARSE = 32 * 15 * 2, 8 * 8, 3, 32 * 2 * 8
 NEIGHBOURS = (-3, -2, -1, 1, 2, 3)
-PIECE, CONTEXT = 1 << 20, 1 << 12
+PIECE, CONTEXT = 1 << 18, 1 << 12
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 

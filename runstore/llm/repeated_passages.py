@@ -39,7 +39,7 @@ _rng = np.random.Generator(np.random.PCG64(31))
 CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)  # here A-Z differ from a-z
 POSITION = np.uint64((1 << 24) - 1)
 #: Longer texts are scanned in pieces of so many bytes, whose places fit the bits of ``POSITION``.
-PIECE = 1 << 20
+PIECE = 1 << 19
 LOWEST = np.iinfo(np.int64).min
 
 
@@ -340,8 +340,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document.
 
     Removed is each byte covered by a 100-byte string that also starts earlier: in a document of
-    smaller id, or before in the same one. Texts are UTF-8; null is empty, and texts under 100 bytes
-    keep all. Rows without an id match nothing and keep all. Of rows that repeat an id the one with the smallest text
+    smaller id, or before in the same one. Texts are UTF-8 of any length; null is empty, and texts
+    under 100 bytes keep all. Rows without an id match nothing and keep all. Of rows that repeat an id the one with the smallest text
     counts. An empty table gives an empty result; other columns are ignored.
     """
     ws = Workspace(docs.sparkSession)

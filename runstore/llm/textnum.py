@@ -22,7 +22,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 SHINGLE = 5
 SHINGLE_CODES = _rng.integers(1, MASK, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
