@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 
 #: Bounds of the batches that go to Python workers, where the session has Spark's own.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(8 << 20))}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
 
 
 def ship(spark: SparkSession) -> None:
